@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from .chat_prefix import OP7_SQL, op7_chat_prefix
+from .license_scan import op1_license_scan
 from .quality_rules import OP3_SQL, op3_quality_rules
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op7_chat_prefix": op7_chat_prefix,
 }
 
 ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
+    "op7_chat_prefix": OP7_SQL,
 }
