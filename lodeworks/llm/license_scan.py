@@ -15,7 +15,6 @@ empty table gives an empty table. Only the id and the text are read, so other co
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, table
+from .common import table
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: UTF-8 bytes: A-Z to a-z, ASCII that is no letter or digit to a space. Words are then what bytes.split() finds.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 #: Base phrases and their labels, fixed by the contract.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -53,34 +53,38 @@ NOTICES = [
 
 #: Words that a phrase may drift from its place in the notice.
 SLACK = 2
+#: Key of the count of all documents; no word holds a zero byte.
+ALL = b"\x00"
 #: Postings of each template.
 ANCHORS = 3
 #: Score of a file that names a licence without a notice.
 BARE_SCORE = 0.5
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(LOWER_AZ)) if text else []
+def words_of(text: bytes | str | None) -> list[bytes]:
+    """Words of a UTF-8 text; a word is a run of ASCII letters, digits and characters beyond ASCII."""
+    raw = text.encode() if isinstance(text, str) else text
+    return raw.translate(FOLD).split() if raw else []
 
 
 @dataclass(frozen=True)
 class Template:
     label: str
-    words: tuple[str, ...]
+    words: tuple[bytes, ...]
     #: (offset of the phrase in the template, its words)
-    phrases: tuple[tuple[int, tuple[str, ...]], ...]
+    phrases: tuple[tuple[int, tuple[bytes, ...]], ...]
     slack: int
     base: bool
 
-    def mandatory(self) -> list[tuple[str, int]]:
+    def mandatory(self) -> list[tuple[bytes, int]]:
         return [(w, at + i) for at, phrase in self.phrases for i, w in enumerate(phrase)]
 
 
-def offset_of(phrase: list[str], words: list[str]) -> int:
+def offset_of(phrase: list[bytes], words: list[bytes]) -> int:
     for i in range(len(words) - len(phrase) + 1):
         if words[i : i + len(phrase)] == phrase:
             return i
-    raise ValueError(f"the notice doesn't hold its phrase {' '.join(phrase)!r}")
+    raise ValueError(f"the notice doesn't hold its phrase {b' '.join(phrase)!r}")
 
 
 def templates(notices=NOTICES, base=BASE, slack: int = SLACK) -> list[Template]:
@@ -91,33 +95,33 @@ def templates(notices=NOTICES, base=BASE, slack: int = SLACK) -> list[Template]:
     return out
 
 
-def document_frequency(docs: DataFrame, vocabulary: set[str], text: str = "text") -> tuple[dict[str, int], int]:
+def document_frequency(docs: DataFrame, vocabulary: set[bytes], text: str = "text") -> tuple[dict[bytes, int], int]:
     """Documents that hold each word of the templates, and all documents; at most one small row a word and task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: Counter[bytes] = Counter()
         for b in batches:
-            held["\x00all"] += b.num_rows
+            held[ALL] += b.num_rows
             for t in b.column(0).to_pylist():
                 held.update(vocabulary.intersection(words_of(t)))
-        yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())}, pa.schema([("word", pa.binary()), ("n", pa.int64())]))
 
-    rows = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    n = {r["word"]: r["n"] for r in rows}
-    return n, n.pop("\x00all", 0)
+    rows = docs.select(F.col(text).cast("binary")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    n = {bytes(r["word"]): r["n"] for r in rows}
+    return n, n.pop(ALL, 0)
 
 
 class RareIndex:
     """word -> [(template, position)] over each template's rarest mandatory words, with the words' idf."""
 
-    def __init__(self, found: list[Template], df: dict[str, int], n: int, anchors: int = ANCHORS):
+    def __init__(self, found: list[Template], df: dict[bytes, int], n: int, anchors: int = ANCHORS):
         self.templates = found
         self.idf = {w: math.log(1 + (n + 1) / (df.get(w, 0) + 1)) for t in found for w in t.words}
-        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        self.anchors: list[list[tuple[str, int]]] = []
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.anchors: list[list[tuple[bytes, int]]] = []
         for k, t in enumerate(found):
             # one posting a word: its first mandatory place
-            first: dict[str, int] = {}
+            first: dict[bytes, int] = {}
             for w, at in t.mandatory():
                 first.setdefault(w, at)
             rare = sorted(first.items(), key=lambda x: (-self.idf[x[0]], x[1]))[:anchors]
@@ -126,10 +130,10 @@ class RareIndex:
                 self.postings[w].append((k, at))
         self.known = set(self.postings)
 
-    def places(self, words: list[str]) -> dict[int, set[int]]:
+    def places(self, words: list[bytes]) -> dict[int, set[int]]:
         """template -> starts at which all its mandatory phrases stand (its phrase places may drift by its slack)."""
         known = self.known
-        at: dict[str, list[int]] = defaultdict(list)
+        at: dict[bytes, list[int]] = defaultdict(list)
         if known.isdisjoint(words):
             return {}
         for i, w in enumerate(words):
@@ -156,14 +160,14 @@ class RareIndex:
         return out
 
     @staticmethod
-    def stands(phrase: tuple[str, ...], words: list[str], at: int) -> bool:
+    def stands(phrase: tuple[bytes, ...], words: list[bytes], at: int) -> bool:
         return at >= 0 and tuple(words[at : at + len(phrase)]) == phrase
 
-    def verified(self, t: Template, words: list[str], start: int) -> bool:
+    def verified(self, t: Template, words: list[bytes], start: int) -> bool:
         reach = range(-2 * t.slack, 2 * t.slack + 1)
         return all(any(self.stands(p, words, start + o + d) for d in reach) for o, p in t.phrases)
 
-    def likeness(self, t: Template, words: list[str], start: int) -> float:
+    def likeness(self, t: Template, words: list[bytes], start: int) -> float:
         """Share of the notice's words that stand at their relative position, within the slack."""
         n = len(words)
         return sum(any(0 <= start + i + d < n and words[start + i + d] == w for d in range(-t.slack, t.slack + 1)) for i, w in enumerate(t.words)) / len(t.words)
@@ -174,7 +178,7 @@ class RareIndex:
         found = self.places(words)
         base = [(s, s + len(t.words) - 1, t.label) for k, starts in found.items() if (t := self.templates[k]).base for s in starts]
         starts = [s for s, _, _ in base]
-        base_labels = {label for _, _, label in base}
+        base_labels: set[str] = {label for _, _, label in base}
         notices = {k: max(self.likeness(self.templates[k], words, s) for s in starts_) for k, starts_ in found.items() if not self.templates[k].base}
         labels = base_labels | {self.templates[k].label for k in notices}
         score = max([0.0, *([BARE_SCORE] if base else []), *notices.values()])
@@ -196,7 +200,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], [b.schema.names[0], *names])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text).mapInArrow(scan, f"`{id_column}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select(id_column, F.col(text).cast("binary")).mapInArrow(scan, f"`{id_column}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from .chat_prefix import OP7_SQL, op7_chat_prefix
 from .license_scan import op1_license_scan
 from .quality_rules import OP3_SQL, op3_quality_rules
+from .warc import op5_warc_segments
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op5_warc_segments": op5_warc_segments,
     "op7_chat_prefix": op7_chat_prefix,
 }
 
