@@ -183,3 +183,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = tuple(state)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
+
+
+#: Bytes of text that a verification unit holds, about; single texts may be longer.
+UNIT_BYTES = 2 << 20
+
+
+def cut_units(members: DataFrame, node: str) -> DataFrame:
+    """``members`` (comp, bytes, ...) with ``unit``: a group of bounded bytes is a unit; a larger one is cut into parts by node and each pair of parts is a unit, so every two members of a group meet in one."""
+    parts = (F.floor(F.sum("bytes") / (UNIT_BYTES // 2)) + 1).cast("long")
+    total = members.groupBy("comp").agg(parts.alias("parts")).withColumn("parts", F.when(F.col("parts") <= 2, F.lit(1).cast("long")).otherwise(F.col("parts")))
+    cut = members.join(total, "comp").withColumn("part", F.pmod(F.xxhash64(node), F.col("parts")))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return cut.withColumn("unit", F.xxhash64("comp", F.least("part", "other"), F.greatest("part", "other"))).drop("parts", "part", "other")
