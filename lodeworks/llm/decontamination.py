@@ -2,9 +2,10 @@
 
 Test items are indexed by BM25 impacts, each divided by the item's threshold (a share of the score that the whole item
 gets of itself), so an item is retrieved when its impacts sum to 1 or more. Every training text is cut into overlapping
-passages; each passage is a query. Passages whose terms' greatest impacts can't sum to 1 are skipped at once; the rest go
-through block-max WAND, which moves the posting lists by their block maxima and retrieves every item at or above its
-threshold. A retrieved item counts if enough of its question (5-word shingles) and of its answer (words) stands in the
+passages; each passage is a query to block-max WAND: its upper bound, the sum of its terms' greatest impacts, must reach
+1, then that of each block of items, the sum of the terms' maxima in the block; blocks below are skipped whole and only
+the postings of the others are scored. Bounds never fall below scores, so every item at or above its threshold is
+retrieved. A retrieved item counts if enough of its question (5-word shingles) and of its answer (words) stands in the
 text. The question is the item without its last line or, in an item of one line, without the last quarter of its words.
 
 Items come in blocks of bounded size; each block's index is broadcast and every text is held against each block.
@@ -31,12 +32,12 @@ from .common import table
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach.
-RETRIEVE = 0.5
+RETRIEVE = 0.6
 #: Shares of the question's shingles and of the answer's words that must stand in the text.
-QUESTION, ANSWER = 0.5, 0.5
+QUESTION, ANSWER = 0.6, 0.5
 SHINGLE = 5
-#: Words of an indexed part, postings of a block, bytes of item text in a broadcast index.
-PART_WORDS, POSTING_BLOCK, INDEX_BYTES = 128, 64, 16 << 20
+#: Words of an indexed part, parts of a block, bytes of item text in a broadcast index.
+PART_WORDS, POSTING_BLOCK, INDEX_BYTES = 128, 8, 16 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -83,53 +84,47 @@ class Index:
             for w, x in impact.items():
                 lists[w].append((p, x / least))
         self.words = {w: k for k, w in enumerate(lists)}
-        self.part = [np.array([p for p, _ in x], np.int64) for x in lists.values()]
-        self.impact = [[x for _, x in y] for y in lists.values()]
-        self.block_max = [[max(x[i : i + POSTING_BLOCK]) for i in range(0, len(x), POSTING_BLOCK)] for x in self.impact]
-        self.most = np.array([max(x) for x in self.impact] + [0.0])  # the last is that of unknown words
-
-    def retrieve(self, terms: list[int]) -> dict[int, float]:
-        """part -> score / threshold of every part at 1 or more: block-max WAND over the terms' postings."""
-        slack = 1 - 1e-9
-        lists = [[0, t] for t in terms]  # position, term
-        found: dict[int, float] = {}
-        part, impact, block_max, most = self.part, self.impact, self.block_max, self.most
-        while lists:
-            lists.sort(key=lambda x: part[x[1]][x[0]])
-            bound, pivot = 0.0, -1
-            for k, (_, t) in enumerate(lists):
-                bound += most[t]
-                if bound >= slack:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            p = part[lists[pivot][1]][lists[pivot][0]]
-            while pivot + 1 < len(lists) and part[lists[pivot + 1][1]][lists[pivot + 1][0]] == p:
-                pivot += 1
-            # shallow moves: block maxima of the blocks that could hold p
-            spots = [int(np.searchsorted(part[t], p)) for _, t in lists[: pivot + 1]]
-            ends = [min(len(part[t]), (s // POSTING_BLOCK + 1) * POSTING_BLOCK) for s, (_, t) in zip(spots, lists, strict=False)]
-            by_block = sum(block_max[t][s // POSTING_BLOCK] if s < len(part[t]) else 0.0 for s, (_, t) in zip(spots, lists, strict=False))
-            if by_block < slack:
-                # no part before the nearest block end, or before the next list, can pass
-                stop = min([part[t][e - 1] + 1 for e, s, (_, t) in zip(ends, spots, lists, strict=False) if s < len(part[t])], default=p + 1)
-                if pivot + 1 < len(lists):
-                    stop = min(stop, part[lists[pivot + 1][1]][lists[pivot + 1][0]])
-                stop = max(stop, p + 1)
-                for x in lists[: pivot + 1]:
-                    x[0] = int(np.searchsorted(part[x[1]], stop))
-            else:
-                score = 0.0
-                for s, x in zip(spots, lists, strict=False):
-                    if s < len(part[x[1]]) and part[x[1]][s] == p:
-                        score += impact[x[1]][s]
-                        s += 1
-                    x[0] = s
-                if score >= slack:
-                    found[int(p)] = score
-            lists = [x for x in lists if x[0] < len(part[x[1]])]
-        return found
+        self.n_parts, self.n_blocks = len(parts), -(-len(parts) // POSTING_BLOCK)
+        # postings of all terms one after the other, each term's by part; the same for its block maxima
+        sizes = np.array([len(x) for x in lists.values()], np.int64)
+        self.start, self.size = np.cumsum(sizes) - sizes, sizes
+        self.part = np.array([p for x in lists.values() for p, _ in x], np.int64)
+        self.impact = np.array([x for y in lists.values() for _, x in y], np.float64)
+        maxima: list[dict[int, float]] = []
+        for x in lists.values():
+            top: dict[int, float] = {}
+            for p, y in x:
+                top[p // POSTING_BLOCK] = max(top.get(p // POSTING_BLOCK, 0.0), y)
+            maxima.append(top)
+        sizes = np.array([len(x) for x in maxima], np.int64)
+        self.block_start, self.block_size = np.cumsum(sizes) - sizes, sizes
+        self.block = np.array([k for x in maxima for k in x], np.int64)
+        self.block_max = np.array([y for x in maxima for y in x.values()], np.float64)
+        self.most = np.array([max(x.values()) for x in maxima] + [0.0])  # the last is that of unknown words
+
+    @staticmethod
+    def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Indices of several runs of a flat array."""
+        ends = np.cumsum(size)
+        return np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
+
+    def retrieve(self, terms: np.ndarray) -> dict[int, float]:
+        """part -> score / threshold of every part at 1 or more.
+
+        Block-max pruning: terms whose greatest impacts can't sum to 1 end the query; a block of parts whose terms'
+        block maxima don't sum to 1 is skipped; only parts of the other blocks are scored from their postings.
+        """
+        least = 1 - 1e-9
+        if not len(terms) or self.most[terms].sum() < least:
+            return {}
+        at = self.spans(self.block_start[terms], self.block_size[terms])
+        live = np.bincount(self.block[at], self.block_max[at], self.n_blocks) >= least
+        if not live.any():
+            return {}
+        at = self.spans(self.start[terms], self.size[terms])
+        at = at[live[self.part[at] // POSTING_BLOCK]]
+        score = np.bincount(self.part[at], self.impact[at], self.n_parts)
+        return {int(p): float(score[p]) for p in np.flatnonzero(score >= least)}
 
     def leaks(self, text: bytes | None) -> list[tuple[int, float, float, float]]:
         """(item, best score as a share of its own, question overlap, answer overlap) of the items that stand in the text."""
@@ -145,7 +140,7 @@ class Index:
         best: dict[int, float] = {}
         for k in np.flatnonzero(bound[stops] - bound[starts] >= 1 - 1e-6):
             terms = np.unique(ids[starts[k] : stops[k]])
-            for p, score in self.retrieve([int(t) for t in terms if t != unknown]).items():
+            for p, score in self.retrieve(terms[terms != unknown]).items():
                 i = self.item_of[p]
                 best[i] = max(best.get(i, 0.0), score)
         if not best:
