@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Z95 = 1.959963984540054
 
@@ -50,7 +51,7 @@ def mcnemar_p(only_a: int, only_b: int) -> float:
     return min(1.0, 2 * tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mcnemar(only_a: pd.Series, only_b: pd.Series) -> pd.Series:
     return pd.Series([mcnemar_p(int(a), int(b)) for a, b in zip(only_a, only_b, strict=True)])
 

@@ -137,7 +137,7 @@ def sample_rows(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, st
         parent = todo.pop()
         for child, cc, p, pc in keys:
             if p == parent and child not in kept and child != root:
-                kept[child] = saved(tables[child].join(kept[p].select(F.col(pc).alias(cc)).distinct(), cc, "left_semi"))
+                kept[child] = saved(tables[child].join(kept[p].select(F.col(pc).alias(cc)).distinct(), cc, "left_semi").select(*tables[child].columns))
                 todo.append(child)
     while True:
         grew = False
@@ -145,9 +145,9 @@ def sample_rows(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, st
             if child not in kept:
                 continue
             need = kept[child].select(F.col(cc).alias(pc)).where(F.col(pc).isNotNull()).distinct()
-            rows = tables[parent].join(need, pc, "left_semi")
+            rows = tables[parent].join(need, pc, "left_semi").select(*tables[parent].columns)
             if parent in kept:
-                more = rows.join(kept[parent].select(pc).distinct(), pc, "left_anti")
+                more = rows.join(kept[parent].select(pc).distinct(), pc, "left_anti").select(*rows.columns)
                 if more.isEmpty():
                     continue
                 rows = kept[parent].unionByName(more)

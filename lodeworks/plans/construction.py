@@ -106,15 +106,22 @@ def unique_by(tables: Mapping[str, DataFrame]) -> Callable[[str, tuple[str, ...]
 
 
 def records(df: DataFrame, rule: NodeRule) -> DataFrame:
-    """(ref, label, key, name, properties...) once a key; rows without a key are left out. Of repeated keys the least row stays."""
+    """(ref, label, key, name, properties...) once a key; rows without a key are left out. Of repeated keys the least row stays.
+
+    A property called like one of the first four columns is named ``p_...``; the name column itself is not repeated.
+    """
     key = key_of(rule.key)
-    props = [F.col(f"`{p}`") for p in dict.fromkeys((*rule.key, *rule.properties))]
+    own = [p for p in dict.fromkeys((*rule.key, *rule.properties)) if not p == rule.name_column == "name"]
+    props = [F.col(f"`{p}`").alias(f"p_{p}" if p in RESERVED else p) for p in own]
     rows = df.select(key.alias("key"), F.col(f"`{rule.name_column}`").cast("string").alias("name"), *props).where("key is not null")
     rest = [c for c in rows.columns if c != "key"]
     one = rows.groupBy("key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("r")).select("key", "r.*")
     return one.select(ref_of(rule.label, F.col("key")).alias("ref"), F.lit(rule.label).alias("label"), "key", *[F.col(f"`{c}`") for c in rest])
 
 
+RESERVED = ("ref", "label", "key", "name")
+
+
 def node_view(parts: Iterable[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, [p.select("ref", "label", "key", "name") for p in parts])
 

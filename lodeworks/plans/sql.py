@@ -20,11 +20,13 @@ def parsed(spark: SparkSession, statement: str):
 def walk(plan):
     """Every node of a logical plan, subqueries and common tables included."""
     yield plan
-    for seq in (plan.children(), plan.innerChildren()):
-        for i in range(seq.size()):
-            child = seq.apply(i)
-            if child.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans"):
-                yield from walk(child)
+    children = plan.children()
+    for i in range(children.size()):
+        yield from walk(children.apply(i))
+    inner = plan.innerChildren()  # common tables; some nodes list expressions here
+    for i in range(inner.size()):
+        if re.search(r"\.plans\.logical\.|\.analysis\.Unresolved(Relation|With)", inner.apply(i).getClass().getName()):
+            yield from walk(inner.apply(i))
     subs = plan.subqueries()
     for i in range(subs.size()):
         yield from walk(subs.apply(i))
@@ -40,10 +42,6 @@ def tables_read(spark: SparkSession, statement: str) -> list[str]:
         elif kind == "UnresolvedWith":
             rules = node.cteRelations()
             own |= {rules.apply(i)._1() for i in range(rules.size())}
-            for i in range(rules.size()):
-                for inner in walk(rules.apply(i)._2()):
-                    if inner.getClass().getSimpleName() == "UnresolvedRelation":
-                        found.add(inner.tableName().replace("`", ""))
     return sorted(found - own)
 
 
