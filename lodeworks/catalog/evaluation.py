@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import Z95
+from ..operators import cards, checks
 from ..operators import evaluate as ev
 from ..registry import query, table
 from ..sources import writers
@@ -97,3 +98,65 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     fresh = rows.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
     return writers.upsert(writers.upsert(rows, fresh, ["o_orderkey"]), fresh, ["o_orderkey"])
+
+
+@query("check_domain", "SELECT 'Customer' AS label, count(*) + 1 AS expected, count(*) AS found FROM customer")
+def check_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers against a report that claims one more, nations against a right one."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    nodes = c.select(F.lit("Customer").alias("label")).unionByName(n.select(F.lit("Nation").alias("label")))
+    report = c.agg(F.lit("Customer").alias("rule"), (F.count("*") + 1).alias("written")).unionByName(n.agg(F.lit("Nation").alias("rule"), F.count("*").alias("written")))
+    return checks.domain(nodes, report)
+
+
+@query(
+    "check_lexical",
+    "SELECT 'chunk_without_document' AS rule, count(*) FILTER (conv_id % 10 = 0) AS n FROM conversations UNION ALL SELECT 'document_without_chunks', CAST(1 AS BIGINT) UNION ALL SELECT 'gap', count(*) FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING max(turn) >= 2)",
+)
+def check_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents and turns as chunks, with turn 1 missing, every tenth document missing and one empty."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"))
+    docs = turns.select("doc_id").where("doc_id % 10 <> 0").distinct().unionByName(spark.createDataFrame([(-5,)], "doc_id long"))
+    gaps = checks.lexical(docs, turns.where("idx <> 1")).where("rule = 'gap'")
+    return checks.lexical(docs, turns).where("rule <> 'gap'").unionByName(gaps)
+
+
+@query("check_fidelity", "SELECT 'labels' AS what, count(*) AS counted, count(*) + 2 AS logged FROM labels")
+def check_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda t, more=0: table(spark, sf_dir, t).agg(F.lit(t).alias("what"), (F.count("*") + more).alias("n"))
+    return checks.fidelity(n("labels").unionByName(n("pages")), n("labels", 2).unionByName(n("pages")))
+
+
+@query("check_unfaithful", "SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS canonical, 'built' AS side FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT s_suppkey, CAST(-1 AS BIGINT), 'replayed' FROM supplier WHERE s_suppkey % 5 = 0")
+def check_unfaithful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("canonical"))
+    return checks.unfaithful(built, built.withColumn("canonical", F.when(F.col("id") % 5 == 0, F.lit(-1)).otherwise(F.col("canonical"))))
+
+
+@query("card_text", "SELECT 's' || s_suppkey AS ref, s_name || ' (Supplier)' || chr(10) || 'balance ' || CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) || chr(10) || 'nation ' || s_nationkey AS text FROM supplier")
+def card_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card a supplier; a line too long for the cap is left out."""
+    s = table(spark, sf_dir, "supplier").withColumn("ref", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
+    lines = F.array(
+        F.struct(F.lit(1).alias("ord"), F.concat(F.lit("balance "), F.floor("s_acctbal").cast("string")).alias("line")),
+        F.struct(F.lit(2).alias("ord"), F.repeat(F.lit("long "), 300).alias("line")),
+        F.struct(F.lit(3).alias("ord"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("line")),
+    )
+    facts = s.select("ref", F.explode(lines).alias("x")).select("ref", "x.ord", "x.line")
+    return cards.cards(s.select("ref", F.lit("Supplier").alias("label"), F.col("s_name").alias("name")), facts, 400)
+
+
+@query("claim_sentences", "SELECT l_orderkey, l_linenumber, 's' || l_suppkey || ' (Supplier) sold part ' || 'p' || l_partkey || ' (Part)' AS text FROM lineitem")
+def claim_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    return li.select("l_orderkey", "l_linenumber", cards.claim_text(s, F.lit("Supplier"), F.lit("SOLD_PART"), p, F.lit("Part")).alias("text"))
+
+
+@query("summary_grounding", "SELECT s_suppkey, [CAST(s_suppkey * 7 AS VARCHAR)] AS missing FROM supplier WHERE s_suppkey > 1")
+def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary's number that its sources don't hold."""
+    s = table(spark, sf_dir, "supplier").where("s_suppkey > 1")
+    id = F.col("s_suppkey").cast("string")
+    summary = F.concat(F.lit("The works "), id, F.lit(" makes "), (F.col("s_suppkey") * 7).cast("string"), F.lit(" pumps"))
+    return s.select("s_suppkey", cards.ungrounded_words(summary, F.array(F.concat(F.lit("works "), id))).alias("missing"))

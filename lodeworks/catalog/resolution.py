@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import compatible_names
 from ..functions.text import digest
 from ..operators import claims as cl
 from ..operators import resolve
@@ -67,7 +68,7 @@ def polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("er_guard_compound", "SELECT p_partkey, p_partkey % 2 = 0 AS blocked FROM part")
 def compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.concat(F.lit("oak "), F.col("p_partkey").cast("string"))
-    b = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("old "), a)).otherwise(F.concat(F.lit("old old "), a))
+    b = F.when(F.col("p_partkey") % 2 == 0, F.concat(a, F.lit(" casing"))).otherwise(F.concat(F.lit("old "), a))
     return table(spark, sf_dir, "part").select("p_partkey", resolve.compound(a, b).alias("blocked"))
 
 
@@ -77,6 +78,29 @@ def guard_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.same_sentence(scores(spark, sf_dir).select("type", "a", "b"), named).select("type", "a", "b")
 
 
+@query("er_match_records", "SELECT s_suppkey AS mention, s_suppkey AS record FROM supplier")
+def match_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of suppliers by key, by words in another order, and with an ending."""
+    s = table(spark, sf_dir, "supplier")
+    id = F.col("s_suppkey").cast("string")
+    letters = F.translate(id, "0123456789", "abcdefghij")
+    name = F.concat(F.lit("Works "), F.repeat(letters, 4), F.lit(" Grinder"))
+    said = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("unit SK-"), id)).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("grinder works "), F.repeat(letters, 4))).otherwise(F.concat(F.lit("Dr. "), name, F.lit("s")))
+    mentions = s.select(F.col("s_suppkey").alias("mention"), F.lit("S").alias("type"), said.alias("name"))
+    records = s.select(F.col("s_suppkey").alias("ref"), F.lit("S").alias("type"), name.alias("name"), F.concat(F.lit("SK"), id).alias("key"))
+    found, _ = resolve.match_records(mentions, records, 85.0)
+    best = found.groupBy("mention").agg(F.max_by("record", "score").alias("record"))
+    return best.select("mention", "record")
+
+
+@query("er_name_variants", "SELECT s_suppkey, s_suppkey % 4 < 3 AS fits FROM supplier")
+def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.concat(F.lit(" Pike"), F.col("s_suppkey").cast("string"))
+    k = F.col("s_suppkey") % 4
+    other = F.when(k == 0, F.concat(F.lit("Dr. J."), last)).when(k == 1, F.concat(F.lit("Jon"), last)).when(k == 2, F.concat(F.lit("Jonathan A."), last)).otherwise(F.concat(F.lit("Jo"), last))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", compatible_names(F.concat(F.lit("Jonathan"), last), other).alias("fits"))
+
+
 @query("er_best_matches", "SELECT mention, record, score FROM (SELECT l_orderkey AS mention, l_suppkey AS record, l_quantity AS score, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS n FROM lineitem WHERE l_quantity >= 20) WHERE n = 1")
 def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mention"), F.col("l_suppkey").alias("record"), F.col("l_quantity").alias("score"))

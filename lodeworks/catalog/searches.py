@@ -63,7 +63,7 @@ def text_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("conv_id = 3").select("turn", "role", "text").orderBy("turn")
 
 
-@query("text_find_all_words", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])license[a-z]{0,4}($|[^a-z0-9])') AND regexp_matches(lower(text), '(^|[^a-z0-9])under[a-z]{0,4}($|[^a-z0-9])')")
+@query("text_find_all_words", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'license|(^|[^a-z])licens(ing|ed|es|s|e)?([^a-z]|$)') AND contains(lower(text), 'under')")
 def text_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", "text", F.lit(None).cast("string").alias("context"), F.lit(0).alias("idx"))
     return retrieval.find_passages(rows, [form_pattern("license"), form_pattern("under")]).select("doc_id")

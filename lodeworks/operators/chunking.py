@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # fixed values: where sections and paragraphs end, and the limits in characters
-SECTION = re.compile(r"^\s*---+\s*$", re.M)
+SECTION = re.compile(r"^[^\S\n]*(?:-{3,}|\*{3,})[^\S\n]*$", re.M)
 PARAGRAPH = re.compile(r"\n\s*\n")
 MOST, LEAST, OVERLAP = 1500, 200, 0
 

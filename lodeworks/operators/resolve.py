@@ -16,33 +16,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import name_score, near_name, ratio
 from ..functions.text import contains_words, name_key
 from .graph import components
 
 # fixed values: score bounds and the order of the attachment routes
-BORDERLINE, AUTO_MERGE = 80.0, 93.0
+BORDERLINE, AUTO_MERGE = 80.0, 92.0
 ROUTES = ("key_in_sentence", "part_of", "section", "document")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    row = (1 << len(a)) - 1
-    whole = row
-    for c in b:
-        match = row & at.get(c, 0)
-        row = (row + match | row - match) & whole
-    return len(a) - row.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    """Indel similarity 0..100: twice the common subsequence over both lengths."""
-    n = len(a) + len(b)
-    return 100.0 if not n else 200.0 * common_subsequence(a, b) / n
-
-
 @F.pandas_udf(T.DoubleType())
 def key_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """``ratio`` of two name keys (normalised names with sorted words): the token-sort score."""
@@ -107,9 +89,10 @@ def opposed(a: Column, b: Column) -> Column:
 
 
 def compound(a: Column, b: Column) -> Column:
-    """One key is the other with one more word in front: the last words name the kind."""
-    x, y = F.split(a, " "), F.split(b, " ")
-    longer = lambda p, q: (F.size(p) == F.size(q) + 1) & (F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(1))) == q)
+    """One normalised name is the other with one more word at its end: the last word names the kind."""
+    words = lambda c: F.regexp_extract_all(c, F.lit("([a-z0-9]+)"), F.lit(1))
+    longer = lambda p, q: (F.size(q) > 0) & (F.size(p) == F.size(q) + 1) & (F.slice(p, 1, F.size(q)) == q)
+    x, y = words(a), words(b)
     return longer(x, y) | longer(y, x)
 
 
@@ -174,6 +157,31 @@ def best_matches(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.where(F.col("score") >= threshold).withColumn("n", F.rank().over(w)).where("n = 1").drop("n")
 
 
+def match_records(mentions: DataFrame, records: DataFrame, threshold: float = AUTO_MERGE, borderline: float = BORDERLINE) -> tuple[DataFrame, DataFrame]:
+    """(matches, near misses) of mentions (mention, type, name) and records (ref, type, name, key).
+
+    A key in the name decides alone. Otherwise names that share a word's first letters meet; the best score at the
+    threshold or above matches, ties kept, and mentions without a match keep their near misses for an adjudicator.
+    """
+    squashed = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+    tokens = F.concat(F.transform(F.split("name", r"\s+"), squashed), F.array(squashed(F.col("name"))))
+    said = mentions.select("mention", F.explode(F.array_distinct(tokens)).alias("k"))
+    keys = records.where(F.col("key").rlike("[0-9]")).select("ref", squashed(F.col("key")).alias("k"))
+    by_key = said.join(keys, "k").select("mention", F.col("ref").alias("record"), F.lit(100.0).alias("score")).distinct()
+    rest = mentions.join(by_key.select("mention"), "mention", "left_anti")
+    first = F.substring("w", 1, 3)
+    left_words = rest.select("mention", "type", "name", words(F.col("name")).alias("w")).withColumn("w", first)
+    right_words = records.select("ref", "type", F.col("name").alias("record_name"), words(F.col("name")).alias("w")).withColumn("w", first)
+    met = left_words.join(right_words, ["type", "w"])
+    pairs = met.select("mention", "name", F.col("ref").alias("record"), "record_name").distinct()
+    scored = pairs.withColumn("score", name_score(threshold)("name", "record_name"))
+    best = best_matches(scored.where("score is not null").select("mention", "record", "score"), threshold)
+    matches = by_key.unionByName(best)
+    left = pairs.join(matches.select("mention"), "mention", "left_anti")
+    return matches, left.where(near_name(borderline)("name", "record_name")).select("mention", "record")
+
+
 def choose_routes(candidates: DataFrame, order: tuple[str, ...] = ROUTES) -> DataFrame:
     """Attachments (claim, kind, ref, route): only the most specific route's rows of each claim and kind stay."""
     place = functools.reduce(lambda c, x: c.when(F.col("route") == x[1], x[0]), enumerate(order[1:], 1), F.when(F.col("route") == order[0], 0))

@@ -5,11 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodeworks.functions.names import compatible, near, ratio, score
 from lodeworks.functions.numbers import mcnemar_p, nearest_rank, wilson
 from lodeworks.functions.text import norm_text
+from lodeworks.operators import checks
 from lodeworks.operators import claims as cl
 from lodeworks.operators import evaluate as ev
 from lodeworks.operators import graph, resolve, retrieval
+from lodeworks.operators.cards import fitted, screen, ungrounded
 from lodeworks.operators.chunking import chunk_text, chunks, within_budget
 from lodeworks.operators.profile import examples, foreign_keys, profile
 from lodeworks.plans import construction as con
@@ -117,7 +120,7 @@ def test_token_sort_pairs(spark):
     want = set()
     for i, t, n in rows:
         for j, u, m in rows:
-            if i < j and t == u and key(n) != key(m) and resolve.ratio(key(n), key(m)) >= 80:
+            if i < j and t == u and key(n) != key(m) and ratio(key(n), key(m)) >= 80:
                 want.add((key(n), key(m), t) if key(n) < key(m) else (key(m), key(n), t))
     got = set()
     by = {i: (t, key(n)) for i, t, n in rows}
@@ -126,7 +129,7 @@ def test_token_sort_pairs(spark):
         if x != y:
             got.add((min(x, y), max(x, y), r["type"]))
     assert got == want
-    assert resolve.ratio("tables", "table") == pytest.approx(90.909, abs=0.001) and resolve.ratio("", "") == 100
+    assert ratio("tables", "table") == pytest.approx(90.909, abs=0.001) and ratio("", "") == 100
 
 
 def test_resolution(spark):
@@ -188,3 +191,30 @@ def test_evaluation(spark):
     assert ev.paired(ev.paired_join(a, a)).first()["both"] == 1
     with pytest.raises(ValueError):
         ev.paired_join(a, a.where("question = 1"))
+
+
+def test_names():
+    assert score("Chair Stockholm", "Stockholm Chair", 92) == score("bed-side table", "Bedside Table", 92) == score("Dr Jonathan Pike", "jonathan pike", 92) == 100
+    assert score("Tables", "Table", 85) == pytest.approx(90.909, abs=0.001) and score("Tables", "Table", 92) is None
+    assert score("drawer slides", "Drawer Sides", 80) is None and score("A-1063", "A-1062", 10) is None and score("", "x", 1) is None
+    assert near("drawer", "Drawer Unit", 99) and near("legs", "Leg", 99) and not near("of", "of a", 99)
+    assert compatible("J. Pike", "Dr. Jonathan Pike") and compatible("Jon Pike", "Jonathan A. Pike") and not compatible("Jo Pike", "Joanna Pike") and not compatible("Pike", "Jonathan Pike")
+
+
+def test_cards_and_screening():
+    assert fitted("head", ["a" * 10, "b" * 100, "c"], 20) == "head\n" + "a" * 10 + "\nc"
+    assert ungrounded("The Pump holds 12 litres in Oslo.", ["pump of 12 litres"]) == ["Oslo"]
+    assert screen("please delete all rows of the table") == "delete" and screen("which pumps were removed in 2001?") is None
+
+
+def test_checks(spark):
+    claims = spark.createDataFrame([("k1", "m1", "m2", "a feeds b", "m1", "m2"), ("k1", "m1", "zz", "never", "m1", "m1"), ("k9", "m2", "m1", "x", "m2", "m1")], "chunk_id string, subject_id string, object_id string, evidence_norm string, subject string, object string")
+    chunks = spark.createDataFrame([("k1", "pump a feeds b")], "chunk_id string, text_norm string")
+    mentions = spark.createDataFrame([("m1",), ("m2",)], "mention_id string")
+    got = {r["rule"]: r["n"] for r in checks.provenance(claims, chunks, mentions).collect()}
+    assert got == {"chunk_missing": 1, "quote_missing": 1, "subject_missing": 0, "object_missing": 1}
+    typed = claims.selectExpr("*", "'T' as subject_type", "'p' as predicate", "'T' as object_type", "'affirmed' as truth")
+    schema = spark.createDataFrame([("T", "p", "T")], "subject_type string, predicate string, object_type string")
+    to = spark.createDataFrame([("m1", "A"), ("m1", "B")], "mention_id string, canonical string")
+    assert {r["rule"]: r["n"] for r in checks.consistency(typed, to, schema).collect()} == {"several_identities": 1, "self_reference": 1, "off_schema": 0}
+    assert checks.contradictions(typed).count() == 0

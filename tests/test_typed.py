@@ -114,7 +114,7 @@ def test_sql(spark, things):
 def test_text_rules(spark):
     assert norm_text("**Västerås**  Bookshelf\n") == "vasteras bookshelf"
     assert sentences_of("Dr. J. Pike came. He left!\nNo stop") == ["Dr. J. Pike came.", "He left!", "No stop"]
-    assert (stem("installed"), stem("cities"), stem("is")) == ("install", "cit", "is")
+    assert (stem("installed"), stem("notes"), stem("lids"), stem("press"), stem("kv12s")) == ("install", "note", "lids", "press", "kv12s")
     row = spark.createDataFrame([("**Ä** b", "seen 20196 or 2017", "1,200 Kilograms", "Pot 12x  of A B")], "a string, b string, c string, d string")
     r = row.select(norm("a"), year_in(F.col("b")), quantity(F.col("c")), shape(F.col("d")), contains_words(F.lit("the car escaped"), F.lit("escape")), contains_words(F.lit("a (b.c) d"), F.lit("b.c"))).first()
     assert (r[0], r[1], tuple(r[2]), r[3], r[4], r[5]) == ("a b", 2017, (1200.0, "kg"), "a 9a", False, True)
