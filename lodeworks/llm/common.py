@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +81,6 @@ class WordIds(dict):
     LIMIT = 400_000
 
     def __missing__(self, word: str) -> int:
-        import xxhash
-
         if len(self) >= self.LIMIT:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
@@ -98,9 +97,10 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
         return h
     k = min(size, n)
     acc = np.full(n - k + 1, 0x9E3779B97F4A7C15 + k, np.uint64)
-    for i in range(k):
-        acc = mix64(acc ^ h[i : n - k + 1 + i]) + np.uint64(0x9E3779B97F4A7C15)
-    return acc
+    for i in range(k):  # a polynomial of well-mixed word hashes, mixed once at the end
+        acc *= np.uint64(0xD6E8FEB86659FD93)
+        acc += h[i : n - k + 1 + i]
+    return mix64(acc)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -35,6 +35,8 @@ from .common import Forest, WordIds, by_runs, components, cut_units, kept, mix64
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
+#: Words that are signed together.
+SIGNED_TOKENS = 50_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,44 +56,59 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def darts(h: np.ndarray, w: np.ndarray, until: float, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(coordinate, rank, identity) of the darts that hit elements ``h`` of weights ``w`` at ranks up to ``until``."""
+def darts(h: np.ndarray, w: np.ndarray, until: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(element, coordinate, rank, identity) of the darts that hit elements ``h`` of weights ``w`` at ranks up to each one's ``until``."""
     layers = np.ceil(w).astype(np.int64)
-    cell = np.repeat(h, layers)
+    element = np.repeat(np.arange(len(h)), layers)
     first = np.repeat(np.cumsum(layers) - layers, layers)
-    layer = np.arange(len(cell)) - first
-    top = np.repeat(w, layers) - layer  # a last, partial layer is hit below its top only
-    seed = mix64(cell ^ mix64(layer.astype(np.uint64) + GOLDEN))
+    layer = np.arange(len(element)) - first
+    top = w[element] - layer  # a last, partial layer is hit below its top only
+    seed = mix64(h[element] ^ mix64(layer.astype(np.uint64) + GOLDEN))
+    limit = until[element]
     rank = np.zeros(len(seed))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     while len(seed):
         seed = mix64(seed + GOLDEN)
         rank = rank - np.log(uniform(seed))
-        on = rank <= until
-        seed, rank, top = seed[on], rank[on], top[on]
+        on = np.flatnonzero(rank <= limit)
+        seed, rank, top, element, limit = seed[on], rank[on], top[on], element[on], limit[on]
         own = mix64(seed ^ np.uint64(0xDA27))
-        hit = uniform(mix64(own)) < top
-        out.append(((own[hit] % np.uint64(t)).astype(np.int64), rank[hit], own[hit]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.uint64))
+        hit = np.flatnonzero((top >= 1) | (uniform(mix64(own)) < top))
+        out.append((element[hit], (own[hit] % np.uint64(t)).astype(np.int64), rank[hit], own[hit]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.uint64))
+
+
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], t: int) -> np.ndarray:
+    """A row a set: the identity of the earliest dart of each of ``t`` coordinates; no set may be empty."""
+    sig = np.zeros((len(sets), t), np.uint64)
+    todo = np.arange(len(sets))
+    until = np.array([(t * np.log(t) + 2 * t) / w.sum() for _, w in sets])
+    while len(todo):
+        h, w = (np.concatenate([sets[k][i] for k in todo]) for i in (0, 1))
+        owner = np.repeat(np.arange(len(todo)), [len(sets[k][0]) for k in todo])
+        element, at, rank, own = darts(h, w, until[todo][owner], t)
+        slot = owner[element] * t + at
+        order = np.lexsort((own, rank, slot))
+        slot = slot[order]
+        first = np.flatnonzero(np.diff(slot, prepend=-1))
+        full = np.bincount(slot[first] // t, minlength=len(todo)) == t
+        got = first[full[slot[first] // t]]
+        sig[todo[full]] = own[order[got]].reshape(-1, t)
+        todo = todo[~full]  # a coordinate was empty: look further
+        until[todo] *= 1.5
+    return sig
 
 
 def signature(h: np.ndarray, w: np.ndarray, t: int) -> np.ndarray:
-    """Identity of the earliest dart of each of ``t`` coordinates; ``h`` must not be empty."""
-    until = (t * np.log(t) + 2 * t) / w.sum()
-    while True:
-        at, rank, own = darts(h, w, until, t)
-        order = np.lexsort((own, rank, at))
-        at = at[order]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        if len(first) == t:
-            return own[order[first]]
-        until *= 1.5  # a coordinate was empty
-
-
-def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    acc = mix64(np.arange(bands, dtype=np.uint64) + GOLDEN)
+    return signatures([(h, w)], t)[0]
+
+
+def bands_of(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(sets, bands): a hash of each band's rows and number."""
+    acc = np.tile(mix64(np.arange(bands, dtype=np.uint64) + GOLDEN), (len(sigs), 1))
+    parts = sigs.reshape(len(sigs), bands, rows)
     for i in range(rows):
-        acc = mix64(acc ^ sig.reshape(bands, rows)[:, i]) + GOLDEN
+        acc = mix64(acc ^ parts[:, :, i]) + GOLDEN
     return acc
 
 
@@ -104,25 +121,41 @@ def signed_documents(docs: DataFrame, id_column: str, text: str, bands: int, row
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
-        memo: dict[bytes, np.ndarray] = {}
         for b in batches:
-            h1, h2, size, found = [], [], [], []
+            h1, h2, size = [], [], []
+            found: dict[bytes, int] = {}  # digest -> row of bands; copies are signed once a batch
+            of: list[int] = []
+            sets: list[tuple[np.ndarray, np.ndarray]] = []
+            made: list[np.ndarray] = [np.empty((0, bands), np.uint64)]
+            held = 0
+
+            def flush() -> None:
+                if sets:
+                    made.append(bands_of(signatures(sets, bands * rows), bands, rows))
+                    sets.clear()
+
             for t in b.column(2):
                 t = t.as_py()
                 words = words_of(t)
                 d = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                got = memo.get(d)
-                if got is None:
-                    got = signed(bands_of(signature(*shingle_set(words, ids, weights), bands * rows), bands, rows)) if words else np.empty(0, np.int64)
-                    if len(memo) >= 5000:
-                        memo.clear()
-                    memo[d] = got
+                if not words:
+                    of.append(-1)
+                else:
+                    if d not in found:
+                        found[d] = len(found)
+                        sets.append(shingle_set(words, ids, weights))
+                        held += len(words)
+                        if held >= SIGNED_TOKENS:
+                            flush()
+                            held = 0
+                    of.append(found[d])
                 h1.append(int.from_bytes(d[:8], "big", signed=True))
                 h2.append(int.from_bytes(d[8:], "big", signed=True))
                 size.append(len(t or b""))
-                found.append(got)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int64), pa.int64()))
+            flush()
+            every, at = signed(np.concatenate(made)), np.array(of, np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.where(at < 0, 0, bands))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(every[at[at >= 0]].ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int64()), lists], ["id", "raw", "h1", "h2", "bytes", "bands"])
 
     kind = docs.schema[id_column].dataType.simpleString()
