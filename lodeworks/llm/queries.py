@@ -11,7 +11,7 @@ from .near_dedup import op8_near_dedup
 from .packing import op10_packing
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
-from .warc import op5_warc_segments
+from .warc import OP5_SQL, op5_warc_segments
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
+    "op5_warc_segments": OP5_SQL,
     "op7_chat_prefix": OP7_SQL,
 }

@@ -258,3 +258,15 @@ def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_archives(spark, path, with_payload=False)
     page = lambda c: F.expr(f"try_cast(nullif(split({c}, ':')[2], '') as bigint)")
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS lead, sha1(payload) AS h FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, CAST((i // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id <> lead THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM f
+"""
