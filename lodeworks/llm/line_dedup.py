@@ -1,6 +1,6 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
 
-Lines (split at ``\\n``, of two words or more) are normalised: lower-cased, runs of white space made one space. Lines equal
+Lines (split at ``\\n``, of two words or more) are normalised: lower-cased, runs of ASCII white space made one space. Lines equal
 after that are one node. Two nodes link if their 64-bit SimHashes over distinct words differ in at most 3 bits and the edit
 similarity of the normalised lines, 1 - distance / length of the longer, is 0.8 or more. Of each connected group of links
 the first occurrence in the corpus (least document id, then line) stays; the others are removed from their texts.
@@ -16,27 +16,37 @@ others; ids are integers; an empty table gives an empty table; other columns pas
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Forest, WordIds, by_runs, components, cut_units, kept, runs, signed, table
+from .common import Forest, by_runs, components, cut_units, kept, mix64, runs, signed, table
 
 MIN_WORDS, BITS, SIMILARITY = 2, 3, 0.8
 #: (shift, width) of the blocks of a SimHash.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 NO_ID = -(1 << 63)
-HELD_TOKENS = 50_000
+#: Bytes of lines that are hashed together.
+HELD_BYTES = 300_000
 
 
-def normal(line: bytes) -> list[str]:
-    return line.decode("utf-8", "replace").lower().split()
+#: White space that a normalised text doesn't hold.
+LOOSE = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+
+
+def lines_of_text(text: bytes) -> list[bytes]:
+    """Normalised lines: lower-cased, one space between words, none around them. White space is ASCII's."""
+    low = text.decode("utf-8", "replace").lower().encode()
+    lines = low.split(b"\n")
+    if low[:1] == b" " or low[-1:] == b" " or any(x in low for x in LOOSE):
+        return [b" ".join(x.split()) for x in lines]
+    return lines
 
 
 #: byte -> eight 8-bit counters in one integer, one a bit of the byte.
@@ -60,50 +70,68 @@ def simhashes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * sums > n[:, None], axis=1).view(np.uint64).ravel()
 
 
+def line_hashes(lines: list[bytes]) -> np.ndarray:
+    """SimHash of each normalised line over its distinct words, all lines at once.
+
+    A word's hash is a polynomial of its bytes; 44 bits of it, behind the line's number, sort to find the distinct ones.
+    """
+    raw = np.frombuffer(b"\n".join(lines), np.uint8)
+    cut = np.flatnonzero((raw == 32) | (raw == 10))
+    starts = np.concatenate([[0], cut + 1])
+    ends = np.append(cut, len(raw))
+    size = ends - starts
+    power = np.ones(int(size.max()), np.uint64)
+    power[1:] = np.cumprod(np.full(len(power) - 1, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
+    at = np.arange(len(raw)) - np.repeat(starts, size + np.append(np.ones(len(cut), np.int64), 0))
+    value = raw.astype(np.uint64) + np.uint64(1)
+    value[cut] = 0
+    at[cut] = 0
+    word = mix64(np.add.reduceat(value * power[at], starts))
+    line = np.cumsum(np.concatenate([[0], raw[cut] == 10])).astype(np.uint64)
+    key = np.sort(line << np.uint64(44) | word >> np.uint64(20))
+    key = key[np.append(True, key[1:] != key[:-1])]
+    line = key >> np.uint64(44)
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    return simhashes(mix64(key & np.uint64((1 << 44) - 1)), first)
+
+
 def row_keys(docs: DataFrame, id_column: str, text: str) -> list[Column]:
     """Columns that name a row by its id and text."""
     return [F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("raw")]
 
 
 def line_rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, raw, line, h1, h2, sim, size): a row per line of enough words; h1 and h2 are the normalised line's digest."""
+    """(id, raw, line, h1, h2, sim): a row per line of enough words; h1 and h2 are the normalised line's digest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
         for b in batches:
             keys, raws = b.column(0).to_numpy(), b.column(1).to_numpy()
-            row, line, digest, size, words, starts = [], [], [], [], [], []
+            row, line, held, size = [], [], [], 0
 
             def out() -> pa.RecordBatch:
                 at = np.array(row, np.int64)
-                d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                sim = signed(simhashes(ids.of(words), np.array(starts, np.int64)))
-                cols = [pa.array(keys[at]), pa.array(raws[at]), pa.array(line, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sim), pa.array(size, pa.int32())]
-                return pa.RecordBatch.from_arrays(cols, ["id", "raw", "line", "h1", "h2", "sim", "size"])
+                d = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, held)), np.int64).reshape(-1, 2)
+                cols = [pa.array(keys[at]), pa.array(raws[at]), pa.array(line, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(signed(line_hashes(held)))]
+                return pa.RecordBatch.from_arrays(cols, ["id", "raw", "line", "h1", "h2", "sim"])
 
             for i, t in enumerate(b.column(2)):
                 t = t.as_py()
                 if not t:
                     continue
-                for k, x in enumerate(t.split(b"\n")):
-                    w = normal(x)
-                    if len(w) < MIN_WORDS:
-                        continue
-                    whole = " ".join(w)
-                    row.append(i)
-                    line.append(k)
-                    digest.append(hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                    size.append(len(whole))
-                    starts.append(len(words))
-                    words += set(w)
-                if len(words) >= HELD_TOKENS:
+                for k, x in enumerate(lines_of_text(t)):
+                    if x.count(b" ") + 1 >= MIN_WORDS:
+                        row.append(i)
+                        line.append(k)
+                        held.append(x)
+                        size += len(x)
+                if size >= HELD_BYTES:
                     yield out()
-                    row, line, digest, size, words, starts = [], [], [], [], [], []
+                    row, line, held, size = [], [], [], 0
             if row:
                 yield out()
 
     rows = docs.select(*row_keys(docs, id_column, text), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(cut, "id long, raw long, line int, h1 long, h2 long, sim long, size int")
+    return rows.mapInArrow(cut, "id long, raw long, line int, h1 long, h2 long, sim long")
 
 
 def close_forest(sims: np.ndarray) -> list[tuple[int, int]]:
@@ -253,20 +281,20 @@ def lines_of(docs: DataFrame, picked: DataFrame, id_column: str, text: str) -> D
         for b in batches:
             comp, node, sim, found = [], [], [], []
             for t, want in zip(b.column(0), b.column(1), strict=True):
-                lines = t.as_py().split(b"\n")
+                lines = lines_of_text(t.as_py())
                 for x in want.as_py():
                     comp.append(x["comp"])
                     node.append(x["node"])
                     sim.append(x["sim"])
-                    found.append(" ".join(normal(lines[x["line"]])))
+                    found.append(lines[x["line"]].decode())
             yield pa.RecordBatch.from_arrays([pa.array(comp, pa.int64()), pa.array(node, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(sim, pa.int64()), pa.array(found, pa.string())], ["comp", "node", "bytes", "sim", "text"])
 
     return rows.mapInArrow(pick, "comp long, node long, bytes long, sim long, text string")
 
 
-def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lines: DataFrame | None = None) -> DataFrame:
     """(id, raw, removed): the line numbers to remove from the rows so named."""
-    lines = kept(line_rows(docs, id_column, text), "lines")
+    lines = kept(line_rows(docs, id_column, text), "lines") if lines is None else lines
     order = F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "raw", "line")
     nodes = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n"))
     nodes = kept(nodes.select("h1", "h2", F.xxhash64("h1", "h2").alias("node"), "first", "sim", "n"), "nodes")
@@ -290,16 +318,17 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 
 def marked(docs: DataFrame, id_column: str = "doc_id", text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``docs`` (or ``columns`` of it) with ``__lines`` (of the text) and ``__removed`` (line numbers to remove)."""
-    gone = removed_lines(docs, id_column, text).withColumnRenamed("id", "__id").withColumnRenamed("raw", "__raw").withColumnRenamed("removed", "__gone")
+    lines = kept(line_rows(docs, id_column, text), "lines")
+    gone = removed_lines(docs, id_column, text, lines).select(F.col("id").alias("__id"), F.col("raw").alias("__raw"), F.col("removed").alias("__gone"))
     key, raw = row_keys(docs, id_column, text)
-    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    worded = F.filter(F.transform(split, lambda x, i: F.when(F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")) >= MIN_WORDS, i)), lambda i: i.isNotNull())
-    rows = docs.select(*(columns or docs.columns), key.alias("__id"), raw.alias("__raw"), F.size(split).alias("__lines"), worded.alias("__worded"))
-    # the n-th of equal rows; equal rows keep their lines once
-    rows = rows.join(gone, ["__id", "__raw"], "left").withColumn("__copy", F.row_number().over(W.partitionBy("__id", "__raw").orderBy("__raw")))
+    # rows equal to an earlier one keep no line: the few ids and texts that stand twice, with all their lines
+    twice = docs.select(key, raw).groupBy("id", "raw").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    every = lines.join(twice, ["id", "raw"], "left_semi").groupBy(F.col("id").alias("__id"), F.col("raw").alias("__raw")).agg(F.array_sort(F.collect_set("line")).alias("__every"))
+    rows = docs.select(*(columns or docs.columns), key.alias("__id"), raw.alias("__raw"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("__lines"))
+    rows = rows.join(gone, ["__id", "__raw"], "left").join(every, ["__id", "__raw"], "left").withColumn("__copy", F.row_number().over(W.partitionBy("__id", "__raw").orderBy("__raw")))
     none = F.array().cast("array<int>")
-    removed = F.when(F.col("__copy") > 1, F.col("__worded")).otherwise(F.coalesce("__gone", none))
-    return rows.withColumn("__removed", removed).drop("__id", "__raw", "__gone", "__worded", "__copy")
+    removed = F.when(F.col("__copy") > 1, F.coalesce("__every", none)).otherwise(F.coalesce("__gone", none))
+    return rows.withColumn("__removed", removed).drop("__id", "__raw", "__gone", "__every", "__copy")
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
