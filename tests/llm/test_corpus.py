@@ -16,7 +16,7 @@ import corpus_pipeline
 from lodeworks.llm import near_dedup as nd
 from lodeworks.llm.common import Forest, WordIds, components, kept, window_hashes
 from lodeworks.llm.decontamination import QUESTION, halves, op4_decontamination, shingles, with_leaks, words_of
-from lodeworks.llm.line_dedup import BITS, close_forest, dedup_lines, edit_distance, op2_line_dedup, removed_lines, similar, simhashes
+from lodeworks.llm.line_dedup import BITS, close_forest, dedup_lines, edit_distance, line_hashes, op2_line_dedup, removed_lines, similar, simhashes
 from lodeworks.llm.lm_score import lm_scores, op9_lm_score
 from lodeworks.llm.packing import SIZES, best_fit, op10_packing, pack, pack_documents, word_count
 from lodeworks.llm.warc import chunked, op5_warc_segments, parse, read_archives, unchunked, write_archives
@@ -81,15 +81,26 @@ def test_simhash_and_close_pairs():
     assert [f.find(i) for i in range(len(sims))] == [g.find(i) for i in range(len(sims))]
 
 
+def test_line_hashes():
+    """Word order, repeats and neighbouring lines don't count; every word does."""
+    lines = [b"a b", b"b a a a", "é x \U0001f600".encode(), b"q", b"w " * 700 + b"end"]
+    got = line_hashes(lines)
+    assert got[0] == got[1] and len(set(got.tolist())) == 4
+    assert [line_hashes([x])[0] for x in lines] == got.tolist()
+    words = [f"w{i}".encode() for i in range(300)]
+    one, two = line_hashes([b" ".join(words), b" ".join([*words[:-1], b"other"])])
+    assert 0 <= np.bitwise_count(one ^ two) <= 16
+
+
 def brute_lines(pairs):
-    ids, occurrences = WordIds(), defaultdict(list)
+    occurrences = defaultdict(list)
     for doc, text in pairs:
         for k, line in enumerate((text or "").split("\n")):
             w = line.lower().split()
             if len(w) >= 2:
                 occurrences[" ".join(w)].append((doc, k))
     keys = list(occurrences)
-    sims = np.array([simhashes(ids.of(list(set(k.split()))), np.array([0]))[0] for k in keys], np.uint64)
+    sims = np.array([line_hashes([k.encode()])[0] for k in keys], np.uint64)
     f = Forest(len(keys))
     for i in range(len(keys)):
         for j in np.flatnonzero(np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= BITS) + i + 1:
