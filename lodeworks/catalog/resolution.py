@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import compatible_names
 from ..functions.text import digest
 from ..operators import claims as cl
-from ..operators import resolve
+from ..operators import reach, resolve
 from ..registry import query, table
 
 
@@ -241,3 +241,65 @@ def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     schema = spark.createDataFrame([("pump", "feeds", "tank")], "subject_type string, predicate string, object_type string")
     return cl.verify(rows, schema).groupBy("rejected").agg(F.count("*").alias("n"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> reach.Texts:
+    """Line items as claims in chunks (orders), with suppliers as mentions and attachments and parts as records."""
+    li = table(spark, sf_dir, "lineitem")
+    s = lambda c, p: F.concat(F.lit(p), F.col(c).cast("string"))
+    rows = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), s("l_orderkey", "o").alias("chunk_id"), s("l_suppkey", "m").alias("subject"), s("l_partkey", "p").alias("object"))
+    chunks = table(spark, sf_dir, "orders").select(s("o_orderkey", "o").alias("chunk_id"), s("o_custkey", "d").alias("doc_id"), F.col("o_orderkey").alias("idx"))
+    m, to = mentions(spark, sf_dir)
+    said = rows.select("chunk_id", F.col("subject").alias("mention_id")).distinct()
+    held = rows.where("claim_id % 7 = 0").select(F.col("object").alias("ref"), "claim_id")
+    about = chunks.where("idx % 5 = 0").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), F.lit("p1").alias("ref"))
+    about = about.unionByName(chunks.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit("p2").alias("ref")).distinct())
+    return reach.Texts(chunks, rows, m, to, said, held, about)
+
+
+@query("reach_record_chunks", "SELECT DISTINCT 'p' || l_partkey AS item, 'o' || l_orderkey AS chunk_id FROM lineitem WHERE l_partkey = 7 UNION SELECT 'p1', 'o' || o_orderkey FROM orders WHERE o_orderkey % 5 = 0 UNION SELECT DISTINCT 'p1', 'o' || l_orderkey FROM lineitem WHERE l_partkey = 1")
+def reach_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reach.chunks_of(spark.createDataFrame([("p1",), ("p7",)], "id string"), "record", texts(spark, sf_dir))
+
+
+@query("reach_entity_documents", "SELECT DISTINCT 'S3' AS item, 'd' || o_custkey AS doc_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey % 3 = 0 AND l_suppkey % 10 = 3")
+def reach_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reach.documents_of(spark.createDataFrame([("S3",)], "id string"), "entity", texts(spark, sf_dir))
+
+
+@query("reach_concerned", "SELECT 'o' || o_orderkey AS chunk_id, CASE WHEN o_orderkey % 5 = 0 THEN 'p1' ELSE 'p2' END AS ref FROM orders")
+def reach_concerned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reach.concerned(texts(spark, sf_dir))
+
+
+@query("reach_evidence_lines", "SELECT ref, line, CAST(row_number() OVER (PARTITION BY ref ORDER BY o, line) AS INTEGER) AS place FROM (SELECT l_suppkey AS ref, 'e' || (l_partkey % 9) AS line, min(l_orderkey * 100 + l_linenumber) AS o FROM lineitem GROUP BY ALL) QUALIFY place <= 3")
+def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return reach.evidence_lines(li.select(F.col("l_suppkey").alias("ref"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("e"), (F.col("l_partkey") % 9).cast("string")).alias("line")), 3)
+
+
+@query("reach_part_of", "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS claim, CAST(l_suppkey + 1 AS BIGINT) AS ref, 'q' || l_suppkey AS evidence FROM lineitem WHERE l_suppkey % 2 = 0")
+def part_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    c = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim"), F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("subject"))
+    parts = li.where("l_suppkey % 2 = 0").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("subject"), (F.col("l_suppkey") + 1).alias("whole_ref"), F.concat(F.lit("q"), F.col("l_suppkey").cast("string")).alias("quote")).distinct()
+    return reach.part_of(c, parts)
+
+
+@query("reach_gold_matches", "SELECT DISTINCT s_suppkey AS gold_id, l_orderkey * 10 + l_linenumber AS fact_id FROM supplier JOIN lineitem ON l_suppkey = s_suppkey AND l_partkey = s_suppkey * 3 WHERE s_suppkey % 2 = 0 OR l_orderkey = s_suppkey")
+def gold_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lambda c, p: F.concat(F.lit(p), F.col(c).cast("string"))
+    gold = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gold_id"), F.when(F.col("s_suppkey") % 2 == 1, F.col("s_suppkey")).alias("doc_id"), s("s_suppkey", "s").alias("subject"), F.lit("sells").alias("predicate"), F.concat(F.lit("p"), (F.col("s_suppkey") * 3).cast("string")).alias("object"))
+    facts = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"), F.col("l_orderkey").alias("doc_id"), F.array(s("l_suppkey", "s"), F.lit("anyone")).alias("subject_names"), F.lit("sells").alias("predicate"), F.array(s("l_partkey", "p")).alias("object_names"))
+    return reach.gold_matches(gold, facts)
+
+
+@query("reach_technique_table", "WITH s AS (SELECT l_returnflag AS system, l_linenumber AS budget, count(*) AS complete FROM lineitem GROUP BY ALL) SELECT budget, system AS best, lead(system) OVER w AS runner_up, complete - lead(complete) OVER w AS ahead FROM s WINDOW w AS (PARTITION BY budget ORDER BY complete DESC, system) QUALIFY row_number() OVER w = 1")
+def technique_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("system"), F.col("l_linenumber").alias("budget")).agg(F.count("*").alias("complete"))
+    return reach.technique_table(scores)
+
+
+@query("text_code_like", r"SELECT p_partkey, regexp_matches(p_brand || '-' || p_size, '^[\p{L}\p{N}]+([_.\-][\p{L}\p{N}]+)+$') AS a, regexp_matches(p_name, '^[\p{L}\p{N}]+([_.\-][\p{L}\p{N}]+)+$') AS b FROM part")
+def code_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", reach.code_like(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string"))).alias("a"), reach.code_like(F.col("p_name")).alias("b"))

@@ -101,7 +101,8 @@ def foreign_keys(tables: Mapping[str, DataFrame], least: float = INCLUSION, decl
     names = ["from_table", "from_column", "to_table", "to_column"]
     found = met.where(~own & (F.col("dtype") == F.col("to_dtype")) & (F.col("inclusion") >= least))
     if declared is not None:
-        stated = declared.select(*names).distinct().withColumn("declared", F.lit(True))
+        # keys of tables that aren't here are left out
+        stated = declared.where(F.col("from_table").isin(*tables) & F.col("to_table").isin(*tables)).select(*names).distinct().withColumn("declared", F.lit(True))
         every = met.select(*names, "inclusion")
         found = found.select(*names, "inclusion").unionByName(stated.join(every, names, "left").select(*names, F.coalesce("inclusion", F.lit(0.0)).alias("inclusion")))
         found = found.distinct().join(stated, names, "left")

@@ -11,7 +11,7 @@ from lodeworks.functions.text import norm_text
 from lodeworks.operators import checks
 from lodeworks.operators import claims as cl
 from lodeworks.operators import evaluate as ev
-from lodeworks.operators import graph, resolve, retrieval
+from lodeworks.operators import graph, reach, resolve, retrieval
 from lodeworks.operators.cards import fitted, screen, ungrounded
 from lodeworks.operators.chunking import chunk_text, chunks, within_budget
 from lodeworks.operators.profile import examples, foreign_keys, profile
@@ -218,3 +218,26 @@ def test_checks(spark):
     to = spark.createDataFrame([("m1", "A"), ("m1", "B")], "mention_id string, canonical string")
     assert {r["rule"]: r["n"] for r in checks.consistency(typed, to, schema).collect()} == {"several_identities": 1, "self_reference": 1, "off_schema": 0}
     assert checks.contradictions(typed).count() == 0
+
+
+def test_reach(spark):
+    beside = lambda s, n, k: spark.range(1).select(reach.key_beside(F.lit(s), F.lit(n), F.lit(k))).first()[0]
+    assert beside("the pump (hp40-1183) ran", "pump", "hp40-1183") and beside("hp40-1183 pump", "pump", "hp40-1183")
+    assert not beside("pump, hp40-1183", "pump", "hp40-1183") and not beside("pumps hp40", "pump", "hp40")
+    chunks = spark.createDataFrame([("k", "Oak table and lamp")], "chunk_id string, text string")
+    named = spark.createDataFrame([("k", "n2", ["LAMP"]), ("k", "n1", ["gone"]), ("k", "n3", ["table", "oak"])], "chunk_id string, ref string, names array<string>")
+    about = spark.createDataFrame([("k", "r")], "chunk_id string, ref string")
+    assert [r["ref"] for r in reach.in_reading_order(chunks, about, named).orderBy("place").collect()] == ["r", "n3", "n2", "n1"]
+    units = spark.createDataFrame([(1, "P", "Dr. J. Pike"), (2, "P", "Jonathan Pike"), (3, "P", "Jonathan Pikes"), (4, "P", "Ann Other")], "id long, type string, name string")
+    near = spark.createDataFrame([(4, 1)], "a long, b long")
+    assert {(r["a"], r["b"], r["signal"]) for r in reach.nominated(units, near=near).collect()} == {(1, 2, "variant"), (2, 3, "spelling"), (1, 4, "meaning")}
+    names = spark.createDataFrame([("d", "R:1", "outback")], "doc_id string, ref string, key string")
+    said = spark.createDataFrame([("d", "m1", "2019 subaru outback", 2), ("d", "m2", "outback", 1), ("d", "m3", "escape", 9)], "doc_id string, mention_id string, key string, mentions long")
+    assert reach.containing(names, said).first()["mention_id"] == "m1"
+    claims = spark.createDataFrame([("c", "a", "b")], "claim_id string, subject string, object string")
+    held = spark.createDataFrame([("r", "c")], "ref string, claim_id string")
+    plain = spark.createDataFrame([("b", "a")], "a string, b string")
+    assert {(r["a"], r["b"], r["witness"]) for r in reach.thing_joins(claims, held, plain).collect()} == {("a", "b", True), ("a", "r", False), ("b", "r", False)}
+    gold = spark.createDataFrame([(1,), (2,), (3,)], "gold_id long")
+    got = reach.judged(gold, gold.where("gold_id = 1"), spark.createDataFrame([(2, "same")], "gold_id long, status string"))
+    assert {r["gold_id"]: r["status"] for r in got.collect()} == {1: "exact", 2: "same", 3: "open"}
