@@ -276,6 +276,16 @@ def test_lm_against_brute_force(spark, sf_dir, monkeypatch, head):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_lm_weights_sum_in_a_tree(spark, docs, monkeypatch):
+    """Summing the tasks' weights two at a time or all at once gives one model."""
+    rng = random.Random(8)
+    made = kept(docs([(i, " ".join(rng.choice("abcdef") for _ in range(40))) for i in range(60)]).repartition(7, "doc_id"), "docs").repartition(7, "doc_id")
+    whole = {r["doc_id"]: r["score"] for r in lm_scores(made).collect()}
+    monkeypatch.setattr("lodeworks.llm.lm_score.FAN_IN", 2)
+    tree = {r["doc_id"]: r["score"] for r in lm_scores(made).collect()}
+    assert all(math.isclose(whole[i], tree[i], rel_tol=1e-3) for i in whole) and len(whole) == 60
+
+
 def test_lm_odd_rows(spark, docs):
     made = docs([(1, None), (1, None), (2, ""), (None, "a b"), (3, "A b " * 30_000), (4, "unseen")]).withColumnRenamed("lang", "score").withColumnRenamed("source", "key")
     rows = lm_scores(made).collect()
