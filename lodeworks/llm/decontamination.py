@@ -32,9 +32,9 @@ from .common import table
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach.
-RETRIEVE = 0.6
+RETRIEVE = 0.5
 #: Shares of the question's shingles and of the answer's words that must stand in the text.
-QUESTION, ANSWER = 0.6, 0.5
+QUESTION, ANSWER = 0.5, 0.5
 SHINGLE = 5
 #: Words of an indexed part, parts of a block, bytes of item text in a broadcast index.
 PART_WORDS, POSTING_BLOCK, INDEX_BYTES = 128, 8, 16 << 20

@@ -229,6 +229,29 @@ def test_leaks_against_brute_force(spark, sf_dir):
     assert got == brute_leaks(texts_of(spark, sf_dir), items)
 
 
+def test_edited_items_leak(spark, docs):
+    """Items with one changed word in the middle of the question, against fixed shares of one half."""
+    rng = random.Random(4)
+    items, pairs = [], []
+    for i in range(30):
+        n = 15 + i % 6
+        q, a = [f"q{i}x{k}" for k in range(n)], [f"a{i}x{k}" for k in range(4)]
+        items.append((i, " ".join(q) + "\n" + " ".join(a)))
+        q[n // 2] = "changed"
+        pairs.append((i, " ".join([f"f{rng.randrange(50)}" for _ in range(40)] + q + a)))
+    want = set()
+    for d, t in pairs:
+        w = t.split()
+        for i, x in items:
+            q, a = (y.split() for y in x.split("\n"))
+            grams = {tuple(q[k : k + 5]) for k in range(len(q) - 4)}
+            if 2 * len(grams & {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) >= len(grams) and 2 * len(set(a) & set(w)) >= len(set(a)):
+                want.add((d, i))
+    assert want == {(i, i) for i in range(30)}
+    found = with_leaks(docs(pairs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["leaks"]} == want
+
+
 def test_leaks_odd_rows(spark, docs):
     rng = random.Random(9)
     word = lambda: f"q{rng.randrange(500)}"
