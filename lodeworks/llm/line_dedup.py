@@ -1,13 +1,15 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
+"""Fuzzy line deduplication: MinHash bands of character grams, edit similarity, one occurrence per connected group.
 
 Lines (split at ``\\n``, of two words or more) are normalised: lower-cased, runs of ASCII white space made one space. Lines equal
-after that are one node. Two nodes link if their 64-bit SimHashes over distinct words differ in at most 3 bits and the edit
-similarity of the normalised lines, 1 - distance / length of the longer, is 0.8 or more. Of each connected group of links
-the first occurrence in the corpus (least document id, then line) stays; the others are removed from their texts.
+after that are one node. Two nodes link if the edit similarity of the normalised lines, 1 - distance / length of the
+longer, is 0.8 or more. Of each connected group of links the first occurrence in the corpus (least document id, then
+line) stays; the others are removed from their texts.
 
-Candidates: the 64 bits are cut into 5 blocks; hashes that differ in 3 bits agree in 2 blocks, so joining on every pair
-of blocks (10 keys of 25 bits) finds every pair. A bucket gives a spanning forest of its close pairs, never all pairs; the
-forests' connected groups hold every link, and inside them whole lines are compared, in units of bounded bytes.
+Candidates: lines that agree in a band of MinHash values over their grams of bytes meet in a bucket; shorter lines, of
+which an edit changes a greater share, have shorter grams and more bands (``SCHEMES``). In a bucket, sketches of a bit a
+MinHash value must be close, and short lines similar outright. A bucket gives a spanning forest of its close pairs, never
+all pairs; the forests' connected groups hold every link that met, and inside them whole lines are compared, in units of
+bounded bytes. Bands can miss a link: the README gives the measured share.
 
 Defined results: null and empty texts and lines of fewer than two words are left as they are; documents stay, with an
 empty text where every line was removed; of repeated rows (same id and text) one keeps its lines; null ids come after
@@ -17,7 +19,6 @@ others; ids are integers; an empty table gives an empty table; other columns pas
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,16 @@ from pyspark.sql import functions as F
 
 from .common import Forest, by_runs, components, cut_units, kept, mix64, runs, signed, table
 
-MIN_WORDS, BITS, SIMILARITY = 2, 3, 0.8
-#: (shift, width) of the blocks of a SimHash.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+MIN_WORDS, SIMILARITY = 2, 0.8
+#: Bits in which SimHashes of linked lines may differ: all, as a link is a matter of edit similarity alone.
+BITS = 64
+#: (least bytes of a line, bytes it stays below, bytes of a gram, values of a band, bands). Lines whose lengths lie on both
+#: sides of a bound meet by the scheme that they share.
+SCHEMES = ((0, 56, 3, 3, 48), (40, 1 << 62, 5, 4, 40))
+#: Most differing bits of two sketches, by gram; values of a sketch.
+RADIUS, SKETCH = {3: 26, 5: 22}, 64
+#: Lines that a task remembers as sent.
+SENT_LINES = 200_000
 NO_ID = -(1 << 63)
 #: Bytes of lines that are hashed together.
 HELD_BYTES = 300_000
@@ -100,8 +108,39 @@ def row_keys(docs: DataFrame, id_column: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("raw")]
 
 
+SEEDS = mix64(np.arange(1, 1 + 2 * max(SKETCH, *(r * b for *_, r, b in SCHEMES)), dtype=np.uint64)).astype(np.uint32).reshape(2, -1)
+SEEDS[1] |= np.uint32(1)
+
+
+def min_hashes(lines: list[bytes], gram: int, count: int) -> np.ndarray:
+    """``count`` MinHash values of each line over its grams; grams at the end of a line reach over it."""
+    gap = b"\n" * gram
+    raw = np.frombuffer(gap.join(lines) + gap, np.uint8).astype(np.uint64) + np.uint64(1)
+    size = np.array([len(x) for x in lines])
+    h = np.zeros(len(raw) - gram, np.uint64)
+    for k in range(gram):
+        h = h * np.uint64(0xD6E8FEB86659FD93) + raw[k : k + len(h)]
+    starts = np.cumsum(size) - size
+    at = np.arange(size.sum()) + np.repeat(gram * np.arange(len(lines)), size)
+    h = (mix64(h[at]) >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(lines), count), np.uint32)
+    for k in range(count):
+        out[:, k] = np.minimum.reduceat((h ^ SEEDS[0, k]) * SEEDS[1, k], starts)
+    return out
+
+
+def band_keys(lines: list[bytes], gram: int, width: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, bands) keys of the buckets and a sketch of each line."""
+    low = min_hashes(lines, gram, max(SKETCH, width * bands))
+    sketch = np.packbits((mix64(low[:, :SKETCH].astype(np.uint64)) & np.uint64(1)).astype(bool), axis=1).view(np.uint64).ravel()
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) * np.uint64(64) + np.uint64(gram), (len(lines), bands))
+    for k in range(width):
+        key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + low[:, k : width * bands : width])
+    return key, sketch
+
+
 def line_rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, raw, line, h1, h2, sim): a row per line of enough words; h1 and h2 are the normalised line's digest."""
+    """(id, raw, line, h1, h2): a row per line of enough words; h1 and h2 are the normalised line's digest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,8 +150,8 @@ def line_rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
             def out() -> pa.RecordBatch:
                 at = np.array(row, np.int64)
                 d = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, held)), np.int64).reshape(-1, 2)
-                cols = [pa.array(keys[at]), pa.array(raws[at]), pa.array(line, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(signed(line_hashes(held)))]
-                return pa.RecordBatch.from_arrays(cols, ["id", "raw", "line", "h1", "h2", "sim"])
+                cols = [pa.array(keys[at]), pa.array(raws[at]), pa.array(line, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])]
+                return pa.RecordBatch.from_arrays(cols, ["id", "raw", "line", "h1", "h2"])
 
             for i, t in enumerate(b.column(2)):
                 t = t.as_py()
@@ -131,74 +170,111 @@ def line_rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                 yield out()
 
     rows = docs.select(*row_keys(docs, id_column, text), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(cut, "id long, raw long, line int, h1 long, h2 long, sim long")
-
-
-def close_forest(sims: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest, as index pairs, of the pairs of ``sims`` that differ in at most ``BITS`` bits."""
-    n = len(sims)
-    forest, edges = Forest(n), []
-
-    def scan(at: np.ndarray) -> None:
-        for lo in range(0, len(at), 1024):
-            one = sims[at[lo : lo + 1024]]
-            for hi in range(lo, len(at), 1024):
-                two = sims[at[hi : hi + 1024]]
-                x, y = np.nonzero(np.bitwise_count(one[:, None] ^ two[None, :]) <= BITS)
-                for i, j in zip(at[lo + x].tolist(), at[hi + y].tolist(), strict=True):
-                    if i != j and forest.join(i, j):
-                        edges.append((i, j))
-
-    if n <= 2048:
-        scan(np.arange(n))
-        return edges
-    for k in range(4):  # 3 bits can't touch all four quarters
-        part = (sims >> np.uint64(16 * k)) & np.uint64(0xFFFF)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
-        for at in np.split(order, cuts):
-            if len(at) > 1:
-                scan(at)
+    return rows.mapInArrow(cut, "id long, raw long, line int, h1 long, h2 long")
+
+
+def bucket_rows(docs: DataFrame, text: str) -> DataFrame:
+    """(key, node, sim, short): a row per line and bucket; short is the text of lines of the first scheme.
+
+    A task sends a line it has lately sent not again, so repeats of a common line don't fill its buckets.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
+
+        def out(held: list[bytes], digests: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for least, below, gram, width, bands in SCHEMES:
+                at = [i for i, x in enumerate(held) if least <= len(x) < below]
+                if not at:
+                    continue
+                mine = [held[i] for i in at]
+                d = np.frombuffer(b"".join(digests[i] for i in at), np.int64).reshape(-1, 2)
+                keys, sims = band_keys(mine, gram, width, bands)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(signed(keys.ravel())))
+                short = pa.array([x if gram == SCHEMES[0][2] else None for x in mine], pa.binary())
+                cols = [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(signed(sims)), short, keys]
+                yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "sim", "short", "keys"])
+
+        for b in batches:
+            held, digests, size = [], [], 0
+            for t in b.column(0):
+                t = t.as_py()
+                for x in lines_of_text(t) if t else ():
+                    if x.count(b" ") + 1 < MIN_WORDS:
+                        continue
+                    d = xxhash.xxh3_128_digest(x)
+                    if d not in sent:
+                        if len(sent) >= SENT_LINES:
+                            sent.clear()
+                        sent.add(d)
+                        held.append(x)
+                        digests.append(d)
+                        size += len(x)
+                if size >= HELD_BYTES:
+                    yield from out(held, digests)
+                    held, digests, size = [], [], 0
+            if held:
+                yield from out(held, digests)
+
+    rows = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(cut, "h1 long, h2 long, sim long, short binary, keys array<long>")
+    return rows.select(F.explode("keys").alias("key"), F.xxhash64("h1", "h2").alias("node"), "sim", "short")
+
+
+def close_forest(sims: np.ndarray, bits: int = BITS, texts: list[str] | None = None) -> list[tuple[int, int]]:
+    """Spanning forest, as index pairs, of the pairs of ``sims`` that differ in at most ``bits`` bits; with ``texts`` they must be similar too."""
+    edges, left = [], np.arange(len(sims))
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            near = np.bitwise_count(sims[left] ^ sims[i]) <= bits
+            if texts is not None:
+                near[near] = [similar(texts[i], texts[j]) for j in left[near].tolist()]
+            found = left[near].tolist()
+            left = left[~near]
+            edges += [(i, j) for j in found]
+            todo += found
     return edges
 
 
-def close_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): forests of close SimHashes, from the buckets of every pair of blocks; ``nodes`` has one row a SimHash."""
-    keys = []
-    for k, ((s1, w1), (s2, w2)) in enumerate(combinations(BLOCKS, 2)):
-        one = F.shiftrightunsigned("sim", s1).bitwiseAND(F.lit((1 << w1) - 1))
-        two = F.shiftrightunsigned("sim", s2).bitwiseAND(F.lit((1 << w2) - 1))
-        keys.append(F.lit(k << 26).cast("long").bitwiseOR(F.shiftleft(one, 13)).bitwiseOR(two))
-    rows = nodes.select("sim", F.explode(F.array(*keys)).alias("key"))
+def close_links(rows: DataFrame) -> DataFrame:
+    """(a, b): forests of close lines, from the buckets; ``rows`` are those of ``bucket_rows``."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(key: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
+        def pairs(key: np.ndarray, node: np.ndarray, sim: np.ndarray, short: pa.Array) -> pa.RecordBatch:
+            own = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            key, node, sim = key[own], node[own], sim[own]
+            has_text = short.is_valid().to_numpy(zero_copy_only=False)[own]
+            cuts = np.flatnonzero(np.append(True, np.append(key[1:] != key[:-1], True)))
             first, n = cuts[:-1], np.diff(cuts)
-            two = first[n == 2]
-            two = two[np.bitwise_count(sim[two] ^ sim[two + 1]) <= BITS]
-            a, b = [sim[two]], [sim[two + 1]]
-            for at, m in zip(first[n > 2].tolist(), n[n > 2].tolist(), strict=True):
-                run = sim[at : at + m]
-                edges = close_forest(run)
+            two = first[(n == 2) & ~has_text[first]]
+            two = two[np.bitwise_count(sim[two] ^ sim[two + 1]) <= RADIUS[5]]
+            a, b = [node[two]], [node[two + 1]]
+            several = (n > 2) | ((n == 2) & has_text[first])
+            for at, m in zip(first[several].tolist(), n[several].tolist(), strict=True):
+                texts = [short[int(i)].as_py().decode() for i in own[at : at + m]] if has_text[at] else None
+                edges = close_forest(sim[at : at + m], RADIUS[5 if texts is None else 3], texts)
                 if edges:
-                    e = np.array(edges)
-                    a.append(run[e[:, 0]])
-                    b.append(run[e[:, 1]])
-            return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(a))), pa.array(signed(np.concatenate(b)))], ["a", "b"])
+                    e = np.array(edges) + at
+                    a.append(node[e[:, 0]])
+                    b.append(node[e[:, 1]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-        keys, sims = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: pa.Table | None = None
         for b in batches:
-            keys = np.concatenate([keys, b.column(0).to_numpy()])
-            sims = np.concatenate([sims, b.column(1).to_numpy().view(np.uint64)])
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            keys = held.column("key").to_numpy()
             last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if last:
-                yield pairs(keys[:last], sims[:last])
-                keys, sims = keys[last:], sims[last:]
-        if len(keys):
-            yield pairs(keys, sims)
+                done = held.slice(0, last).combine_chunks()
+                yield pairs(keys[:last], done.column("node").to_numpy(), done.column("sim").to_numpy().view(np.uint64), pa.concat_arrays(done.column("short").chunks))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            held = held.combine_chunks()
+            yield pairs(held.column("key").to_numpy(), held.column("node").to_numpy(), held.column("sim").to_numpy().view(np.uint64), pa.concat_arrays(held.column("short").chunks))
 
-    return by_runs(rows.select("key", "sim"), "key", join, "a long, b long").distinct()
+    return by_runs(rows.select("key", "node", "sim", "short"), "key", join, "a long, b long", "node").distinct()
 
 
 def common_start(a: str, b: str) -> int:
@@ -212,8 +288,8 @@ def common_start(a: str, b: str) -> int:
     return lo
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit-parallel columns, one big integer a column."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance by bit-parallel columns, one big integer a column; any number above ``most`` if it is greater."""
     if len(a) < len(b):
         a, b = b, a
     if not b:
@@ -223,12 +299,16 @@ def edit_distance(a: str, b: str) -> int:
         at[c] = at.get(c, 0) | 1 << i
     whole, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
     plus, minus, distance = whole, 0, len(b)
+    limit = len(a) + len(b) if most is None else most + len(a)
     for c in a:
         match = at.get(c, 0)
         down = match | minus
         across = (((match & plus) + plus) ^ plus) | match
         more, less = minus | ~(across | plus) & whole, plus & across
         distance += bool(more & top) - bool(less & top)
+        limit -= 1  # a column lowers the distance by one at most
+        if distance > limit:
+            return distance
         more = (more << 1 | 1) & whole
         less = less << 1 & whole
         plus, minus = less | ~(down | more) & whole, more & down
@@ -246,11 +326,11 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     k = common_start(a[::-1], b[::-1])
     if k:
         a, b = a[:-k], b[:-k]
-    return max(len(a), len(b)) <= most or edit_distance(a, b) <= most
+    return max(len(a), len(b)) <= most or edit_distance(a, b, most) <= most
 
 
 def line_links(members: DataFrame) -> DataFrame:
-    """(a, b): a forest of the verified links; rows of ``members`` are (comp, node, bytes, sim, text)."""
+    """(a, b): a forest of the verified links; rows of ``members`` are (comp, node, bytes, text)."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "unit"):
@@ -258,10 +338,11 @@ def line_links(members: DataFrame) -> DataFrame:
             if len(nodes) < 2:
                 continue
             texts = [t.column("text")[int(i)].as_py() for i in at]
-            sims = t.column("sim").to_numpy()[at].view(np.uint64)
+            size = np.array([len(x) for x in texts])
             forest, a, b = Forest(len(nodes)), [], []
             for i in range(len(nodes) - 1):
-                for j in (np.flatnonzero(np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= BITS) + i + 1).tolist():
+                rest = size[i + 1 :]
+                for j in (np.flatnonzero(abs(rest - size[i]) <= (1 - SIMILARITY) * np.maximum(rest, size[i]) + 1e-9) + i + 1).tolist():
                     if forest.find(i) != forest.find(j) and similar(texts[i], texts[j]):
                         forest.join(i, j)
                         a.append(nodes[i])
@@ -269,42 +350,36 @@ def line_links(members: DataFrame) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(a)), pa.array(np.array(b))], ["a", "b"])
 
-    return by_runs(cut_units(members, "node").select("unit", "node", "sim", "text"), "unit", verify, "a long, b long")
+    return by_runs(cut_units(members, "node").select("unit", "node", "text"), "unit", verify, "a long, b long")
 
 
 def lines_of(docs: DataFrame, picked: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(comp, node, bytes, sim, text): the normalised lines that ``picked`` (comp, node, sim, id, raw, line) names."""
-    wanted = picked.groupBy("id", "raw").agg(F.collect_list(F.struct("line", "comp", "node", "sim")).alias("wanted"))
+    """(comp, node, bytes, text): the normalised lines that ``picked`` (comp, node, id, raw, line) names."""
+    wanted = picked.groupBy("id", "raw").agg(F.collect_list(F.struct("line", "comp", "node")).alias("wanted"))
     rows = docs.select(*row_keys(docs, id_column, text), F.col(text).cast("binary").alias("text")).join(wanted, ["id", "raw"]).select("text", "wanted")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            comp, node, sim, found = [], [], [], []
+            comp, node, found = [], [], []
             for t, want in zip(b.column(0), b.column(1), strict=True):
                 lines = lines_of_text(t.as_py())
                 for x in want.as_py():
                     comp.append(x["comp"])
                     node.append(x["node"])
-                    sim.append(x["sim"])
                     found.append(lines[x["line"]].decode())
-            yield pa.RecordBatch.from_arrays([pa.array(comp, pa.int64()), pa.array(node, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(sim, pa.int64()), pa.array(found, pa.string())], ["comp", "node", "bytes", "sim", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(comp, pa.int64()), pa.array(node, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.string())], ["comp", "node", "bytes", "text"])
 
-    return rows.mapInArrow(pick, "comp long, node long, bytes long, sim long, text string")
+    return rows.mapInArrow(pick, "comp long, node long, bytes long, text string")
 
 
 def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lines: DataFrame | None = None) -> DataFrame:
     """(id, raw, removed): the line numbers to remove from the rows so named."""
     lines = kept(line_rows(docs, id_column, text), "lines") if lines is None else lines
     order = F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "raw", "line")
-    nodes = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n"))
-    nodes = kept(nodes.select("h1", "h2", F.xxhash64("h1", "h2").alias("node"), "first", "sim", "n"), "nodes")
-    sims = nodes.groupBy("sim").agg(F.count("*").alias("n"))
-    grouped = components(close_links(sims))
-    sims = sims.join(grouped.withColumnRenamed("node", "sim"), "sim", "left").select("sim", "n", F.coalesce("comp", "sim").alias("comp"))
-    sims = kept(sims, "sims")
-    several = sims.groupBy("comp").agg(F.sum("n").alias("n")).where("n > 1").select("comp")
-    picked = nodes.select("node", "sim", "first").join(sims.select("sim", "comp").join(several, "comp"), "sim")
-    picked = picked.select("comp", "node", "sim", "first.id", "first.raw", "first.line")
+    nodes = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    nodes = kept(nodes.select("h1", "h2", F.xxhash64("h1", "h2").alias("node"), "first", "n"), "nodes")
+    grouped = components(close_links(bucket_rows(docs, text)))
+    picked = nodes.join(grouped, "node").select("comp", "node", "first.id", "first.raw", "first.line")
     links = kept(line_links(lines_of(docs, picked, id_column, text)), "links")
     same = kept(components(links), "groups")
     # groups of one node need no links; their occurrences meet by digest

@@ -123,6 +123,29 @@ def test_line_dedup_against_brute_force(spark, sf_dir):
         assert r["removed_lines"] == want.get(r["doc_id"], []) and r["n_removed"] == len(r["removed_lines"])
 
 
+def test_edited_lines_go(spark, docs):
+    """Lines of 3 to 60 words with a few edited characters, against a brute force on edit similarity of 0.8 alone."""
+    rng = random.Random(8)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+
+    lines = []
+    for k in range(60):
+        line = " ".join(word() for _ in range(3 + k % 58))
+        edited = list(line)
+        for _ in range(max(1, len(line) // 16)):
+            edited[rng.choice([i for i, c in enumerate(edited) if c != " "])] = rng.choice("xyz")
+        lines += [line, "".join(edited)]
+    want = set()
+    for j, x in enumerate(lines):
+        if any(abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and levenshtein(x, y) <= 0.2 * max(len(x), len(y)) for y in lines[max(0, j - 1) : j]):
+            want.add(j)
+    assert len(want) == 60
+    gone = {r["id"] for r in removed_lines(docs(list(enumerate(lines)))).collect()}
+    assert gone == want
+
+
 def test_line_dedup_odd_rows(spark, docs):
     long = " ".join(f"w{i}" for i in range(400))
     made = docs([(2, "Same  line here\nown two"), (1, "same line HERE\nx"), (1, "same line HERE\nx"), (3, None), (4, ""), (5, long), (6, long + " w0"), (None, "own two\nlast words")])
