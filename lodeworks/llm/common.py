@@ -32,12 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder of this machine."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a folder of this machine if all tasks run on it; a cluster must name one."""
     try:
         root = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # the setting is unknown to the session
         root = None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lodeworks-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -185,14 +187,142 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
-#: Bytes of text that a verification unit holds, about; single texts may be longer.
-UNIT_BYTES = 2 << 20
+#: Rows of a bucket beyond which its members aren't compared by sketch but all hang on one of them.
+HOT_BUCKET = 200_000
 
 
-def cut_units(members: DataFrame, node: str) -> DataFrame:
-    """``members`` (comp, bytes, ...) with ``unit``: a group of bounded bytes is a unit; a larger one is cut into parts by node and each pair of parts is a unit, so every two members of a group meet in one."""
-    parts = (F.floor(F.sum("bytes") / (UNIT_BYTES // 2)) + 1).cast("long")
-    total = members.groupBy("comp").agg(parts.alias("parts")).withColumn("parts", F.when(F.col("parts") <= 2, F.lit(1).cast("long")).otherwise(F.col("parts")))
-    cut = members.join(total, "comp").withColumn("part", F.pmod(F.xxhash64(node), F.col("parts")))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return cut.withColumn("unit", F.xxhash64("comp", F.least("part", "other"), F.greatest("part", "other"))).drop("parts", "part", "other")
+def sketch_forest(sketches: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning forest, as index pairs, of the pairs that ``close`` holds to be close."""
+    edges, left = [], np.arange(len(sketches))
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            near = close(sketches[left], sketches[i])
+            found = left[near].tolist()
+            left = left[~near]
+            edges += [(i, j) for j in found]
+            todo += found
+    return edges
+
+
+def bucket_groups(rows: DataFrame, close: Callable[[np.ndarray, np.ndarray], np.ndarray], hot: int = HOT_BUCKET, kinds: int = 1) -> DataFrame:
+    """(comp, node, sketch): the groups of nodes that chains of close pairs connect within one bucket; ``rows`` are (key, node, sketch), all long.
+
+    A group is named by its least node and the kind of its bucket, the key modulo ``kinds`` (sketches compare within a kind
+    only); groups of several buckets with one name are one. Never all pairs of a bucket. One bucket is in memory at a time; one of more
+    than ``hot`` rows is a group as it is, unseen, so that what follows compares its members exactly.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members(comp: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(comp), pa.array(node), pa.array(signed(sketch))], ["comp", "node", "sketch"])
+
+        def name(node: np.ndarray, key: np.ndarray) -> np.ndarray:
+            return signed(mix64(node.view(np.uint64) + key.view(np.uint64) % np.uint64(kinds)))
+
+        def found(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+            own = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+            key, node, sketch = key[own], node[own], sketch[own]
+            cuts = np.flatnonzero(np.append(True, np.append(key[1:] != key[:-1], True)))
+            first, n = cuts[:-1], np.diff(cuts)
+            two = first[n == 2]
+            two = two[close(sketch[two], sketch[two + 1])]
+            sizes, at_rows = [np.full(len(two), 2)], [np.stack([two, two + 1], axis=1).ravel()]
+            for at, m in zip(first[n > 2].tolist(), n[n > 2].tolist(), strict=True):
+                edges = sketch_forest(sketch[at : at + m], close)
+                if not edges:
+                    continue
+                trees: dict[int, list[int]] = {}
+                root: dict[int, int] = {}
+                for i, j in edges:  # a tree's edges come from its root on
+                    r = root[j] = root.setdefault(i, i)
+                    trees.setdefault(r, [r]).append(j)
+                for t in trees.values():
+                    at_rows.append(at + np.sort(t))
+                    sizes.append(np.array([len(t)]))
+            sizes, rows = np.concatenate(sizes), np.concatenate(at_rows)
+            first = rows[np.cumsum(sizes) - sizes]
+            return members(np.repeat(name(node[first], key[first]), sizes), node[rows], sketch[rows])
+
+        key, node, sketch = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        hung: tuple[int, int] | None = None  # key of a hot bucket and the name of its group
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, v, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            if hung is not None:
+                at = int(np.searchsorted(k, hung[0], "right"))
+                yield members(np.full(at, hung[1]), v[:at], x[:at])
+                k, v, x = k[at:], v[at:], x[at:]
+                if not len(k):
+                    continue
+                hung = None
+            key, node, sketch = np.concatenate([key, k]), np.concatenate([node, v]), np.concatenate([sketch, x])
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield found(key[:last], node[:last], sketch[:last])
+                key, node, sketch = key[last:], node[last:], sketch[last:]
+            if len(key) > hot:
+                hung = int(key[0]), int(name(node[:1], key[:1])[0])
+                yield members(np.full(len(node), hung[1]), node, sketch)
+                key, node, sketch = key[:0], node[:0], sketch[:0]
+        if len(key):
+            yield found(key, node, sketch)
+
+    return by_runs(rows.select("key", "node", "sketch"), "key", join, "comp long, node long, sketch long", "node").distinct()
+
+
+#: Bytes of text that a verification unit holds, about; a member counts ``LEAST_BYTES`` at least, which bounds its rows.
+UNIT_BYTES, LEAST_BYTES = 2 << 20, 1 << 10
+
+
+def weighed(members: DataFrame) -> DataFrame:
+    """(comp, parts, lead) of each group: parts of about half a unit, and its least node."""
+    size = F.sum(F.greatest("bytes", F.lit(LEAST_BYTES)))
+    parts = (F.floor(size / F.lit(UNIT_BYTES // 2)) + 1).cast("long")
+    return members.groupBy("comp").agg(F.when(parts <= 2, F.lit(1).cast("long")).otherwise(parts).alias("parts"), F.min("node").alias("lead"))
+
+
+def first_units(members: DataFrame) -> DataFrame:
+    """``members`` (comp, node, bytes, ...) with ``unit`` and ``role``; rows of role 0 are compared with all of their unit, rows of role 1 with those of role 0.
+
+    A group of bounded bytes is one unit, all of role 0. A larger one is cut into parts, each a unit with the group's
+    least node as the only row of role 0: a group of copies of one text is settled in time proportional to it.
+    """
+    m = members.join(weighed(members), "comp")
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    is_lead = F.col("node") == F.col("lead")
+    part = F.explode(F.when((F.col("parts") > 1) & is_lead, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own)))
+    m = m.withColumn("part", part).withColumn("unit", F.xxhash64("comp", "part"))
+    return m.withColumn("role", ((F.col("parts") > 1) & ~is_lead).cast("int")).drop("parts", "lead", "part")
+
+
+def second_units(members: DataFrame, links: DataFrame) -> DataFrame | None:
+    """Units for the members of cut groups that ``links`` doesn't tie to their least node: each is compared with all members of its group."""
+    big = weighed(members).where("parts > 1")
+    m = members.join(big, "comp")
+    tied = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    m = m.join(tied.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.lit(True).alias("tied")), ["node", "lead"], "left")
+    m = kept(m.withColumn("loose", F.col("tied").isNull() & (F.col("node") != F.col("lead"))).drop("tied"), "settled")
+    rest = weighed(m.where("loose").select("comp", "node", "bytes")).select("comp", F.col("parts").alias("loose_parts"))
+    if m.where("loose").isEmpty():
+        return None
+    m = m.join(rest, "comp")
+    row, column = F.pmod(F.xxhash64("node", F.lit(1)), F.col("loose_parts")), F.pmod(F.xxhash64("node"), F.col("parts"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    probes = m.where("loose").withColumn("row", row).withColumn("column", F.explode(every("parts"))).withColumn("role", F.lit(0))
+    others = m.withColumn("column", column).withColumn("row", F.explode(every("loose_parts"))).withColumn("role", F.lit(1))
+    out = probes.unionByName(others).withColumn("unit", F.xxhash64("comp", "row", "column"))
+    return out.drop("parts", "loose_parts", "lead", "loose", "row", "column")
+
+
+def compared(members: DataFrame, links_in: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): links among the members of each group such that any two members whose texts are similar end up connected.
+
+    ``links_in`` turns rows of ``members`` with ``unit`` and ``role`` into links.
+    """
+    members = kept(members, "members")
+    links = kept(links_in(first_units(members)), "links")
+    more = second_units(members, links)
+    return links if more is None else links.unionByName(kept(links_in(more), "links"))

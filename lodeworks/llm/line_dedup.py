@@ -1,19 +1,22 @@
-"""Fuzzy line deduplication: MinHash bands of character grams, edit similarity, one occurrence per connected group.
-
-Lines (split at ``\\n``, of two words or more) are normalised: lower-cased, runs of ASCII white space made one space. Lines equal
-after that are one node. Two nodes link if the edit similarity of the normalised lines, 1 - distance / length of the
-longer, is 0.8 or more. Of each connected group of links the first occurrence in the corpus (least document id, then
-line) stays; the others are removed from their texts.
-
-Candidates: lines that agree in a band of MinHash values over their grams of bytes meet in a bucket; shorter lines, of
-which an edit changes a greater share, have shorter grams and more bands (``SCHEMES``). In a bucket, sketches of a bit a
-MinHash value must be close, and short lines similar outright. A bucket gives a spanning forest of its close pairs, never
-all pairs; the forests' connected groups hold every link that met, and inside them whole lines are compared, in units of
-bounded bytes. Bands can miss a link: the README gives the measured share.
-
-Defined results: null and empty texts and lines of fewer than two words are left as they are; documents stay, with an
-empty text where every line was removed; of repeated rows (same id and text) one keeps its lines; null ids come after
-others; ids are integers; an empty table gives an empty table; other columns pass through.
+"""Fuzzy line deduplication: hashed sketches of lines, joined on blocks, edit similarity, one occurrence per connected group.
+
+Lines (split at ``\\n``, of two words or of ``MIN_BYTES`` bytes or more) are normalised: lower-cased, runs of ASCII white
+space made one space. Lines equal after that are one node. Two nodes link if the edit similarity of the normalised lines,
+1 - distance / length of the longer, is 0.8 or more. Of each connected group of links the first occurrence in the corpus
+(least document id, then line) stays; the others are removed from their texts.
+
+Candidates: a line's fingerprint is a row of MinHash values over its grams of bytes, cut into blocks of two values, their
+distance in the line and about the place of the first (from the line's start in one half of the blocks, from its end in
+the other); lines that agree in a block meet in a bucket. Short lines, of which an edit changes a greater
+share, have shorter grams; of long lines a quarter of the grams, picked by hash, takes part (``SCHEMES``). In a bucket,
+64-bit sketches (four bits of each of fourteen values, and the length) must agree in ``AGREE`` places and about in length.
+Chains of close pairs make groups within one bucket, never across buckets; close lines of a group are compared whole, in
+units of bounded bytes. The groups of all lines are the connected groups of the links so verified. SimHash fingerprints, whose blocks of bits carry far less, lose half of the links at
+as many blocks; the README gives the measured shares of both.
+
+Defined results: null and empty texts and other lines are left as they are; documents stay, with an empty text where every
+line was removed; of repeated rows (same id and text) one keeps its lines; null ids come after others; ids are integers;
+an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,16 +30,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Forest, by_runs, components, cut_units, kept, mix64, runs, signed, table
-
-MIN_WORDS, SIMILARITY = 2, 0.8
-#: Bits in which SimHashes of linked lines may differ: all, as a link is a matter of edit similarity alone.
-BITS = 64
-#: (least bytes of a line, bytes it stays below, bytes of a gram, values of a band, bands). Lines whose lengths lie on both
-#: sides of a bound meet by the scheme that they share.
-SCHEMES = ((0, 56, 3, 3, 48), (40, 1 << 62, 5, 4, 40))
-#: Most differing bits of two sketches, by gram; values of a sketch.
-RADIUS, SKETCH = {3: 26, 5: 22}, 64
+from .common import Forest, bucket_groups, by_runs, compared, components, kept, mix64, runs, signed, table
+
+SIMILARITY = 0.8
+#: Bytes from which a line of one word counts.
+MIN_BYTES = 24
+#: (least bytes of a line, bytes it stays below, bytes of a gram, one gram in so many, bytes that distances are rounded to).
+#: Lines whose lengths lie on both sides of a bound meet by the scheme that they share.
+SCHEMES = ((0, 48, 3, 1, 4), (38, 256, 6, 1, 16), (204, 1 << 62, 6, 4, 16))
+BLOCKS = 12
+#: A key modulo this is the number of its scheme.
+KINDS = np.uint64(4)
+#: Values of a sketch, four bits each, and how many must agree; steps of the length in it to a doubling, and how many lengths may differ.
+SKETCH, AGREE, LENGTH_STEPS, LENGTH_APART = 14, 5, 16, 6
 #: Lines that a task remembers as sent.
 SENT_LINES = 200_000
 NO_ID = -(1 << 63)
@@ -57,50 +63,8 @@ def lines_of_text(text: bytes) -> list[bytes]:
     return lines
 
 
-#: byte -> eight 8-bit counters in one integer, one a bit of the byte.
-LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], np.uint64)
-
-
-def simhashes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each run of word hashes; a bit is set if more than half of the words set it.
-
-    Bits are counted eight to an integer, over at most 255 words at a time.
-    """
-    n = np.diff(np.append(starts, len(h)))
-    pieces = -(-n // 255)
-    first = np.cumsum(pieces) - pieces
-    fine = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
-    octets = h.view(np.uint8).reshape(-1, 8)
-    counts = np.empty((len(fine), 64), np.uint8)
-    for k in range(8):
-        counts[:, 8 * k : 8 * k + 8] = np.add.reduceat(LANES[octets[:, k]], fine).view(np.uint8).reshape(-1, 8)
-    sums = counts.astype(np.int64) if len(fine) == len(starts) else np.add.reduceat(counts.astype(np.int64), first, axis=0)
-    return np.packbits(2 * sums > n[:, None], axis=1).view(np.uint64).ravel()
-
-
-def line_hashes(lines: list[bytes]) -> np.ndarray:
-    """SimHash of each normalised line over its distinct words, all lines at once.
-
-    A word's hash is a polynomial of its bytes; 44 bits of it, behind the line's number, sort to find the distinct ones.
-    """
-    raw = np.frombuffer(b"\n".join(lines), np.uint8)
-    cut = np.flatnonzero((raw == 32) | (raw == 10))
-    starts = np.concatenate([[0], cut + 1])
-    ends = np.append(cut, len(raw))
-    size = ends - starts
-    power = np.ones(int(size.max()), np.uint64)
-    power[1:] = np.cumprod(np.full(len(power) - 1, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
-    at = np.arange(len(raw)) - np.repeat(starts, size + np.append(np.ones(len(cut), np.int64), 0))
-    value = raw.astype(np.uint64) + np.uint64(1)
-    value[cut] = 0
-    at[cut] = 0
-    word = mix64(np.add.reduceat(value * power[at], starts))
-    line = np.cumsum(np.concatenate([[0], raw[cut] == 10])).astype(np.uint64)
-    key = np.sort(line << np.uint64(44) | word >> np.uint64(20))
-    key = key[np.append(True, key[1:] != key[:-1])]
-    line = key >> np.uint64(44)
-    first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-    return simhashes(mix64(key & np.uint64((1 << 44) - 1)), first)
+def counts(line: bytes) -> bool:
+    return b" " in line or len(line) >= MIN_BYTES
 
 
 def row_keys(docs: DataFrame, id_column: str, text: str) -> list[Column]:
@@ -108,12 +72,14 @@ def row_keys(docs: DataFrame, id_column: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("raw")]
 
 
-SEEDS = mix64(np.arange(1, 1 + 2 * max(SKETCH, *(r * b for *_, r, b in SCHEMES)), dtype=np.uint64)).astype(np.uint32).reshape(2, -1)
-SEEDS[1] |= np.uint32(1)
+SEEDS = mix64(np.arange(1, 1 + 4 * BLOCKS, dtype=np.uint64)).reshape(2, -1)
+SEEDS[1] |= np.uint64(1)
+#: A MinHash value's low bits tell where its gram stands.
+PLACE = np.uint64(0xFFFF)
 
 
-def min_hashes(lines: list[bytes], gram: int, count: int) -> np.ndarray:
-    """``count`` MinHash values of each line over its grams; grams at the end of a line reach over it."""
+def min_hashes(lines: list[bytes], gram: int, every: int) -> np.ndarray:
+    """MinHash values of each line over its grams, places in the low bits; grams at the end of a line reach over it."""
     gap = b"\n" * gram
     raw = np.frombuffer(gap.join(lines) + gap, np.uint8).astype(np.uint64) + np.uint64(1)
     size = np.array([len(x) for x in lines])
@@ -121,26 +87,59 @@ def min_hashes(lines: list[bytes], gram: int, count: int) -> np.ndarray:
     for k in range(gram):
         h = h * np.uint64(0xD6E8FEB86659FD93) + raw[k : k + len(h)]
     starts = np.cumsum(size) - size
-    at = np.arange(size.sum()) + np.repeat(gram * np.arange(len(lines)), size)
-    h = (mix64(h[at]) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(lines), count), np.uint32)
-    for k in range(count):
-        out[:, k] = np.minimum.reduceat((h ^ SEEDS[0, k]) * SEEDS[1, k], starts)
+    line = np.repeat(np.arange(len(lines)), size)
+    h = mix64(h[np.arange(size.sum()) + gram * line])
+    place = np.arange(size.sum()) - np.repeat(starts, size)
+    if every > 1:  # the same grams in every line; a line without such grams takes all
+        on = h % np.uint64(every) == 0
+        on |= (np.add.reduceat(on, starts) == 0)[line]
+        h, line, place = h[on], line[on], place[on]
+        starts = np.searchsorted(line, np.arange(len(lines)))
+    place = place.astype(np.uint64) & PLACE
+    out = np.empty((len(lines), 2 * BLOCKS), np.uint64)
+    for k in range(2 * BLOCKS):
+        x = (h ^ SEEDS[0, k]) * SEEDS[1, k]
+        x ^= x >> np.uint64(32)  # the order is by high bits, which low ones don't reach otherwise
+        out[:, k] = np.minimum.reduceat(x & ~PLACE | place, starts)
     return out
 
 
-def band_keys(lines: list[bytes], gram: int, width: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, bands) keys of the buckets and a sketch of each line."""
-    low = min_hashes(lines, gram, max(SKETCH, width * bands))
-    sketch = np.packbits((mix64(low[:, :SKETCH].astype(np.uint64)) & np.uint64(1)).astype(bool), axis=1).view(np.uint64).ravel()
-    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) * np.uint64(64) + np.uint64(gram), (len(lines), bands))
-    for k in range(width):
-        key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + low[:, k : width * bands : width])
-    return key, sketch
+#: Places of a sketch's values.
+NIBBLES = np.arange(0, 4 * SKETCH, 4, dtype=np.uint64)
+
+
+def block_keys(lines: list[bytes], scheme: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, blocks) keys of the buckets and a sketch of each line."""
+    *_, gram, every, step = SCHEMES[scheme]
+    low = min_hashes(lines, gram, every)
+    value, place = low & ~PLACE, (low & PLACE).astype(np.int64)
+    sketch = ((mix64(value[:, :SKETCH]) & np.uint64(15)) << NIBBLES).sum(axis=1, dtype=np.uint64)
+    steps = np.minimum(np.rint(LENGTH_STEPS * np.log2([max(1, len(x)) for x in lines])), 255).astype(np.uint64)
+    sketch |= steps << np.uint64(56)
+    apart = signed_steps(place[:, ::2] - place[:, 1::2], step)
+    place = place[:, ::2].copy()
+    place[:, 1::2] -= np.array([min(len(x), int(PLACE)) for x in lines])[:, None]
+    first = signed_steps(place, 8 * step)
+    block = np.arange(BLOCKS, dtype=np.uint64) * np.uint64(64) + np.uint64(scheme)
+    key = mix64(mix64(mix64(mix64(block ^ value[:, ::2]) + value[:, 1::2]) + apart) + first)
+    return key - key % KINDS + np.uint64(scheme), sketch
+
+
+def signed_steps(x: np.ndarray, step: int) -> np.ndarray:
+    return ((x + step // 2) // step).astype(np.uint64)
+
+
+def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches agree in ``AGREE`` values or more, and about in length."""
+    x = (a ^ b) & np.uint64((1 << 56) - 1)
+    x = x | x >> np.uint64(1)
+    x = (x | x >> np.uint64(2)) & np.uint64(0x11111111111111)
+    apart = (a >> np.uint64(56)).astype(np.int64) - (b >> np.uint64(56)).astype(np.int64)
+    return (np.bitwise_count(x) <= SKETCH - AGREE) & (abs(apart) <= LENGTH_APART)
 
 
 def line_rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, raw, line, h1, h2): a row per line of enough words; h1 and h2 are the normalised line's digest."""
+    """(id, raw, line, bytes, h1, h2): a row per line that counts; h1 and h2 are the normalised line's digest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,15 +149,16 @@ def line_rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
             def out() -> pa.RecordBatch:
                 at = np.array(row, np.int64)
                 d = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, held)), np.int64).reshape(-1, 2)
-                cols = [pa.array(keys[at]), pa.array(raws[at]), pa.array(line, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])]
-                return pa.RecordBatch.from_arrays(cols, ["id", "raw", "line", "h1", "h2"])
+                sizes = pa.array(list(map(len, held)), pa.int32())
+                cols = [pa.array(keys[at]), pa.array(raws[at]), pa.array(line, pa.int32()), sizes, pa.array(d[:, 0]), pa.array(d[:, 1])]
+                return pa.RecordBatch.from_arrays(cols, ["id", "raw", "line", "bytes", "h1", "h2"])
 
             for i, t in enumerate(b.column(2)):
                 t = t.as_py()
                 if not t:
                     continue
                 for k, x in enumerate(lines_of_text(t)):
-                    if x.count(b" ") + 1 >= MIN_WORDS:
+                    if counts(x):
                         row.append(i)
                         line.append(k)
                         held.append(x)
@@ -170,11 +170,11 @@ def line_rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                 yield out()
 
     rows = docs.select(*row_keys(docs, id_column, text), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(cut, "id long, raw long, line int, h1 long, h2 long")
+    return rows.mapInArrow(cut, "id long, raw long, line int, bytes int, h1 long, h2 long")
 
 
 def bucket_rows(docs: DataFrame, text: str) -> DataFrame:
-    """(key, node, sim, short): a row per line and bucket; short is the text of lines of the first scheme.
+    """(key, node, sketch): a row per line and block.
 
     A task sends a line it has lately sent not again, so repeats of a common line don't fill its buckets.
     """
@@ -183,24 +183,21 @@ def bucket_rows(docs: DataFrame, text: str) -> DataFrame:
         sent: set[bytes] = set()
 
         def out(held: list[bytes], digests: list[bytes]) -> Iterator[pa.RecordBatch]:
-            for least, below, gram, width, bands in SCHEMES:
+            for k, (least, below, *_) in enumerate(SCHEMES):
                 at = [i for i, x in enumerate(held) if least <= len(x) < below]
                 if not at:
                     continue
-                mine = [held[i] for i in at]
-                d = np.frombuffer(b"".join(digests[i] for i in at), np.int64).reshape(-1, 2)
-                keys, sims = band_keys(mine, gram, width, bands)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(signed(keys.ravel())))
-                short = pa.array([x if gram == SCHEMES[0][2] else None for x in mine], pa.binary())
-                cols = [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(signed(sims)), short, keys]
-                yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "sim", "short", "keys"])
+                node = np.frombuffer(b"".join(digests[i] for i in at), np.int64)[::2]
+                keys, sketch = block_keys([held[i] for i in at], k)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BLOCKS), pa.int32()), pa.array(signed(keys.ravel())))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(signed(sketch)), keys], ["node", "sketch", "keys"])
 
         for b in batches:
             held, digests, size = [], [], 0
             for t in b.column(0):
                 t = t.as_py()
                 for x in lines_of_text(t) if t else ():
-                    if x.count(b" ") + 1 < MIN_WORDS:
+                    if not counts(x):
                         continue
                     d = xxhash.xxh3_128_digest(x)
                     if d not in sent:
@@ -216,65 +213,8 @@ def bucket_rows(docs: DataFrame, text: str) -> DataFrame:
             if held:
                 yield from out(held, digests)
 
-    rows = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(cut, "h1 long, h2 long, sim long, short binary, keys array<long>")
-    return rows.select(F.explode("keys").alias("key"), F.xxhash64("h1", "h2").alias("node"), "sim", "short")
-
-
-def close_forest(sims: np.ndarray, bits: int = BITS, texts: list[str] | None = None) -> list[tuple[int, int]]:
-    """Spanning forest, as index pairs, of the pairs of ``sims`` that differ in at most ``bits`` bits; with ``texts`` they must be similar too."""
-    edges, left = [], np.arange(len(sims))
-    while len(left):
-        todo, left = [int(left[0])], left[1:]
-        while todo and len(left):
-            i = todo.pop()
-            near = np.bitwise_count(sims[left] ^ sims[i]) <= bits
-            if texts is not None:
-                near[near] = [similar(texts[i], texts[j]) for j in left[near].tolist()]
-            found = left[near].tolist()
-            left = left[~near]
-            edges += [(i, j) for j in found]
-            todo += found
-    return edges
-
-
-def close_links(rows: DataFrame) -> DataFrame:
-    """(a, b): forests of close lines, from the buckets; ``rows`` are those of ``bucket_rows``."""
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(key: np.ndarray, node: np.ndarray, sim: np.ndarray, short: pa.Array) -> pa.RecordBatch:
-            own = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-            key, node, sim = key[own], node[own], sim[own]
-            has_text = short.is_valid().to_numpy(zero_copy_only=False)[own]
-            cuts = np.flatnonzero(np.append(True, np.append(key[1:] != key[:-1], True)))
-            first, n = cuts[:-1], np.diff(cuts)
-            two = first[(n == 2) & ~has_text[first]]
-            two = two[np.bitwise_count(sim[two] ^ sim[two + 1]) <= RADIUS[5]]
-            a, b = [node[two]], [node[two + 1]]
-            several = (n > 2) | ((n == 2) & has_text[first])
-            for at, m in zip(first[several].tolist(), n[several].tolist(), strict=True):
-                texts = [short[int(i)].as_py().decode() for i in own[at : at + m]] if has_text[at] else None
-                edges = close_forest(sim[at : at + m], RADIUS[5 if texts is None else 3], texts)
-                if edges:
-                    e = np.array(edges) + at
-                    a.append(node[e[:, 0]])
-                    b.append(node[e[:, 1]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-        held: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            keys = held.column("key").to_numpy()
-            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if last:
-                done = held.slice(0, last).combine_chunks()
-                yield pairs(keys[:last], done.column("node").to_numpy(), done.column("sim").to_numpy().view(np.uint64), pa.concat_arrays(done.column("short").chunks))
-                held = held.slice(last)
-        if held is not None and held.num_rows:
-            held = held.combine_chunks()
-            yield pairs(held.column("key").to_numpy(), held.column("node").to_numpy(), held.column("sim").to_numpy().view(np.uint64), pa.concat_arrays(held.column("short").chunks))
-
-    return by_runs(rows.select("key", "node", "sim", "short"), "key", join, "a long, b long", "node").distinct()
+    rows = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(cut, "node long, sketch long, keys array<long>")
+    return rows.select(F.explode("keys").alias("key"), "node", "sketch")
 
 
 def common_start(a: str, b: str) -> int:
@@ -299,7 +239,7 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
         at[c] = at.get(c, 0) | 1 << i
     whole, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
     plus, minus, distance = whole, 0, len(b)
-    limit = len(a) + len(b) if most is None else most + len(a)
+    limit = 2 * (len(a) + len(b)) if most is None else most + len(a)
     for c in a:
         match = at.get(c, 0)
         down = match | minus
@@ -329,58 +269,211 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return max(len(a), len(b)) <= most or edit_distance(a, b, most) <= most
 
 
-def line_links(members: DataFrame) -> DataFrame:
-    """(a, b): a forest of the verified links; rows of ``members`` are (comp, node, bytes, text)."""
+def places_of(text: str) -> dict[str, bytes]:
+    """character -> its places in the text, a bit each, with a spare bit at the top."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(text):
+        at[c] = at.get(c, 0) | 1 << i
+    width = len(text) // 8 + 1
+    return {c: x.to_bytes(width, "little") for c, x in at.items()}
+
+
+def edit_distances(a: str, others: list[str], places: list[dict[str, bytes]]) -> list[int]:
+    """Levenshtein distance of ``a`` to each of ``others``: the columns of all of them side by side in one integer.
+
+    Every text has a field of its own with a spare bit, which takes what an addition or a shift carries over.
+    """
+    widths = [len(x) // 8 + 1 for x in others]
+    none = [bytes(w) for w in widths]
+    joined = lambda parts: int.from_bytes(b"".join(parts), "little")
+    at = {c: joined(p.get(c, z) for p, z in zip(places, none, strict=True)) for c in set(a)}
+    whole = joined(((1 << len(x)) - 1).to_bytes(w, "little") for x, w in zip(others, widths, strict=True))
+    lowest = joined((1).to_bytes(w, "little") for w in widths)
+    plus, minus = whole, 0
+    for c in a:
+        match = at[c]
+        down = match | minus
+        across = (((match & plus) + plus) ^ plus) | match
+        more = minus | whole & ~(across | plus)
+        less = plus & across
+        more = (more << 1 | lowest) & whole
+        less = less << 1 & whole
+        plus, minus = less | whole & ~(down | more), more & down
+    ups, downs = (x.to_bytes(sum(widths), "little") for x in (plus, minus))
+    out, start = [], 0
+    for w in widths:
+        out.append(len(a) + int.from_bytes(ups[start : start + w], "little").bit_count() - int.from_bytes(downs[start : start + w], "little").bit_count())
+        start += w
+    return out
+
+
+GRAM = 3
+#: Bits of a place in a text; longer texts aren't held against marks.
+PLACE_BITS = 22
+
+
+def gram_marks(text: str) -> np.ndarray:
+    """A hash and the place of each gram of characters, ascending."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(0, len(c) - GRAM + 1), np.uint64)
+    for k in range(GRAM if len(h) else 0):
+        h = h * np.uint64(0xD6E8FEB86659FD93) + c[k : k + len(h)]
+    h = mix64(h) >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)
+    return np.sort(h + np.arange(len(h), dtype=np.uint64))
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, longer: int) -> bool:
+    """False only where texts of these marks can't be similar.
+
+    An edit takes ``GRAM`` grams from the longer text at most; the others stand in the other text, no further off than
+    there are edits.
+    """
+    most = int((1 - SIMILARITY) * longer + 1e-9)
+    least = longer - GRAM + 1 - GRAM * most
+    if least <= 0 or longer >= 1 << PLACE_BITS:
+        return True
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return False
+    place = a & np.uint64((1 << PLACE_BITS) - 1)
+    low = a - np.minimum(place, np.uint64(most))
+    at = np.minimum(np.searchsorted(b, low), len(b) - 1)
+    return int(((b[at] >= low) & (b[at] <= a + np.uint64(most))).sum()) >= least
+
+
+def line_links(rows: DataFrame) -> DataFrame:
+    """(a, b): a forest of the verified links of each unit; ``rows`` are (unit, role, node, sketch, text)."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "unit"):
             nodes, at = np.unique(t.column("node").to_numpy(), return_index=True)
             if len(nodes) < 2:
                 continue
-            texts = [t.column("text")[int(i)].as_py() for i in at]
+            rest = t.column("role").to_numpy()[at] == 1  # rows come by role within a node
+            texts = t.column("text").take(at).to_pylist()
             size = np.array([len(x) for x in texts])
+            sketch = t.column("sketch").to_numpy()[at].view(np.uint64)
+            marks: list[np.ndarray | None] = [None] * len(nodes)
             forest, a, b = Forest(len(nodes)), [], []
-            for i in range(len(nodes) - 1):
-                rest = size[i + 1 :]
-                for j in (np.flatnonzero(abs(rest - size[i]) <= (1 - SIMILARITY) * np.maximum(rest, size[i]) + 1e-9) + i + 1).tolist():
-                    if forest.find(i) != forest.find(j) and similar(texts[i], texts[j]):
-                        forest.join(i, j)
+
+            def partners(i: int) -> np.ndarray:
+                fits = abs(size - size[i]) <= (1 - SIMILARITY) * np.maximum(size, size[i]) + 1e-9
+                fits &= close(sketch, sketch[i])
+                fits[i] = False
+                return np.flatnonzero(fits if not rest[i] else fits & ~rest)
+
+            probes = np.flatnonzero(~rest)
+            if len(nodes) > 3:  # those like most others first, so that fewer others are compared among each other
+                probes = probes[np.argsort([-len(partners(i)) for i in probes], kind="stable")]
+            places: list[dict[str, bytes] | None] = [None] * len(nodes)
+            met = np.zeros(len(nodes), bool)
+            for i in probes.tolist():
+                met[i] = True
+                todo = []
+                for j in partners(i).tolist():
+                    if (met[j] and not rest[j]) or forest.find(i) == forest.find(j):
+                        continue
+                    for k in (i, j):
+                        if marks[k] is None:
+                            marks[k] = gram_marks(texts[k])
+                    if may_be_similar(marks[i], marks[j], max(size[i], size[j])):
+                        todo.append(j)
+                if len(todo) > 2:
+                    for j in todo:
+                        if places[j] is None:
+                            places[j] = places_of(texts[j])
+                    far = edit_distances(texts[i], [texts[j] for j in todo], [places[j] for j in todo])
+                    todo = [j for j, d in zip(todo, far, strict=True) if d <= int((1 - SIMILARITY) * max(size[i], size[j]) + 1e-9)]
+                else:
+                    todo = [j for j in todo if similar(texts[i], texts[j])]
+                for j in todo:
+                    if forest.join(i, j):
                         a.append(nodes[i])
                         b.append(nodes[j])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(a)), pa.array(np.array(b))], ["a", "b"])
 
-    return by_runs(cut_units(members, "node").select("unit", "node", "text"), "unit", verify, "a long, b long")
+    return by_runs(rows.select("unit", "node", "role", "sketch", "text"), "unit", verify, "a long, b long", "node", "role")
+
+
+#: Bits of the filter of wanted lines, at least and at most, and for each line.
+FILTER_BITS, LINE_BITS = (1 << 16, 1 << 26), 16
+
+
+def wanted_filter(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``nodes``, 8 MB at most however many they are; beyond that it lets more lines through, and loses none."""
+    most = FILTER_BITS[1]
+    n = nodes.count()
+    size = max(FILTER_BITS[0], min(most, 1 << (LINE_BITS * max(n, 1)).bit_length()))
+    bit = F.explode(F.array(*[F.shiftrightunsigned("node", k).bitwiseAND(F.lit(size - 1)) for k in (0, 32)]))
+    words = nodes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("bits"))
+    t = words.toArrow()
+    out = np.zeros(size // 32, np.uint32)
+    out[t.column("at").to_numpy()] = t.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def in_filter(bits: np.ndarray, node: np.ndarray) -> np.ndarray:
+    out = np.ones(len(node), bool)
+    for k in (0, 32):
+        at = (node.view(np.uint64) >> np.uint64(k)) & np.uint64(32 * len(bits) - 1)
+        out &= (bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+    return out
 
 
-def lines_of(docs: DataFrame, picked: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(comp, node, bytes, text): the normalised lines that ``picked`` (comp, node, id, raw, line) names."""
-    wanted = picked.groupBy("id", "raw").agg(F.collect_list(F.struct("line", "comp", "node")).alias("wanted"))
-    rows = docs.select(*row_keys(docs, id_column, text), F.col(text).cast("binary").alias("text")).join(wanted, ["id", "raw"]).select("text", "wanted")
+def lines_of(docs: DataFrame, picked: DataFrame, text: str) -> DataFrame:
+    """(unit, role, node, sketch, text): the normalised lines of the nodes of ``picked`` (unit, role, node, sketch).
+
+    A filter of the wanted nodes keeps most other lines out of the shuffle; the join settles which are wanted.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(wanted_filter(picked.select("node").distinct()))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
-            comp, node, found = [], [], []
-            for t, want in zip(b.column(0), b.column(1), strict=True):
-                lines = lines_of_text(t.as_py())
-                for x in want.as_py():
-                    comp.append(x["comp"])
-                    node.append(x["node"])
-                    found.append(lines[x["line"]].decode())
-            yield pa.RecordBatch.from_arrays([pa.array(comp, pa.int64()), pa.array(node, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.string())], ["comp", "node", "bytes", "text"])
+            held, digests = [], []
+
+            def out() -> pa.RecordBatch:
+                node = np.frombuffer(b"".join(digests), np.int64)[::2]
+                texts = []
+                for i in np.flatnonzero(in_filter(sent.value, node)).tolist():
+                    if digests[i] not in seen:
+                        if len(seen) >= SENT_LINES:
+                            seen.clear()
+                        seen.add(digests[i])
+                        texts.append((int(node[i]), held[i].decode()))
+                return pa.RecordBatch.from_arrays([pa.array([x for x, _ in texts], pa.int64()), pa.array([x for _, x in texts], pa.string())], ["node", "text"])
+
+            size = 0
+            for t in b.column(0):
+                t = t.as_py()
+                if not t:
+                    continue
+                for x in lines_of_text(t):
+                    if counts(x):
+                        held.append(x)
+                        digests.append(xxhash.xxh3_128_digest(x))
+                        size += len(x)
+                if size >= HELD_BYTES:
+                    yield out()
+                    held, digests, size = [], [], 0
+            if held:
+                yield out()
 
-    return rows.mapInArrow(pick, "comp long, node long, bytes long, text string")
+    rows = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(pick, "node long, text string")
+    return rows.join(picked.select("unit", "role", "node", "sketch"), "node")
 
 
 def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lines: DataFrame | None = None) -> DataFrame:
     """(id, raw, removed): the line numbers to remove from the rows so named."""
     lines = kept(line_rows(docs, id_column, text), "lines") if lines is None else lines
     order = F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "raw", "line")
-    nodes = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    nodes = kept(nodes.select("h1", "h2", F.xxhash64("h1", "h2").alias("node"), "first", "n"), "nodes")
-    grouped = components(close_links(bucket_rows(docs, text)))
-    picked = nodes.join(grouped, "node").select("comp", "node", "first.id", "first.raw", "first.line")
-    links = kept(line_links(lines_of(docs, picked, id_column, text)), "links")
+    nodes = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.min("bytes").alias("bytes"))
+    nodes = kept(nodes.select("h1", "h2", F.col("h1").alias("node"), "first", "n", "bytes"), "nodes")
+    grouped = bucket_groups(bucket_rows(docs, text), close, kinds=int(KINDS))
+    picked = nodes.join(grouped, "node").select("comp", "node", "sketch", "bytes")
+    links = compared(picked, lambda rows: line_links(lines_of(docs, rows, text)))
     same = kept(components(links), "groups")
     # groups of one node need no links; their occurrences meet by digest
     of = nodes.join(same, "node", "left").select("h1", "h2", "first", "n", F.col("comp").isNotNull().alias("grouped"), F.coalesce("comp", "node").alias("comp")).where("n > 1 or grouped")

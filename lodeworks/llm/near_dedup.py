@@ -4,16 +4,19 @@ A text is the weighted set of its 5-word shingles. Darts are thrown at every ele
 weight receives a stream of darts at hashed arrival ranks (a Poisson stream, the same in every text), and each dart has a
 hashed coordinate and a hashed height in its layer. Darts above the element's weight miss; of those that hit, the
 earliest of each coordinate makes the signature. A text needs the darts of the first few ranks only, about t log t of
-them however long it is. Bands of the signature are joined; texts that share a band are candidates, candidates' connected
-groups are brought together, and there every pair's Jaccard similarity is computed from the whole texts. Pairs at the
-threshold or above link; a class is a connected group of links, named by its least document id.
+them however long it is. Bands of the signature are joined. Texts of a bucket whose 64-bit sketches (a bit a coordinate)
+differ in ``RADIUS`` bits at most are candidates; chains of them make groups within one bucket, never across buckets.
+Groups are brought together, and there Jaccard similarities are computed from the whole texts. Pairs at the threshold or
+above link; a class is a connected group of links, named by its least document id.
 
 Exact copies (equal lower-cased word sequences) are grouped by a 128-bit digest first and stand for each other, so groups
-of copies are never expanded. A candidate group is verified in units of bounded bytes: larger groups are cut into parts
-and every pair of parts is a unit. Signatures of b bands of r rows miss a pair of similarity 0.8 with probability
-(1 - 0.8^r)^b: 3e-6 for 24 bands of 4.
+of copies are never expanded. A candidate group is verified in units of bounded bytes and rows; a large one is held against
+its least member first, and only members that this doesn't settle are compared with all others. Signatures of b bands of r
+rows miss a pair of similarity 0.8 with probability (1 - 0.8^r)^b, 3e-6 for 24 bands of 4, and its sketches differ in more
+than 16 of 64 bits (6.4 expected) with probability 2e-4.
 
-Weights: ``binary`` (production: the plain Jaccard similarity of shingle sets) or ``counts`` (the weighted one).
+Weights: ``counts`` (production: a shingle weighs as often as it stands in the text) or ``binary`` (the plain Jaccard
+similarity of shingle sets).
 
 Defined results: a text of fewer than five words is one shingle; texts without words (null and empty ones too) are copies
 of each other; null ids are kept, and sort before others in no class name unless a class has nothing else; repeated rows
@@ -31,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, WordIds, by_runs, components, cut_units, kept, mix64, runs, signed, table, window_hashes
+from .common import Forest, WordIds, bucket_groups, by_runs, compared, components, kept, mix64, runs, signed, table, window_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
+#: Most differing bits of two sketches.
+RADIUS = 16
 #: Words that are signed together.
 SIGNED_TOKENS = 50_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +50,7 @@ def words_of(text: bytes | None) -> list[str]:
     return text.decode("utf-8", "replace").lower().split() if text else []
 
 
-def shingle_set(words: list[str], ids: WordIds, weights: str = "binary") -> tuple[np.ndarray, np.ndarray]:
+def shingle_set(words: list[str], ids: WordIds, weights: str = "counts") -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted, and their weights."""
     h, n = np.unique(window_hashes(ids.of(words), SHINGLE), return_counts=True)
     return h, (n if weights == "counts" else np.ones(len(h))).astype(np.float64)
@@ -112,12 +117,24 @@ def bands_of(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc
 
 
+def sketches_of(sigs: np.ndarray) -> np.ndarray:
+    """A bit of each of the first 64 coordinates."""
+    bits = np.zeros((len(sigs), 64), bool)
+    k = min(64, sigs.shape[1])
+    bits[:, :k] = mix64(sigs[:, :k]) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.uint64).ravel()
+
+
+def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= RADIUS
+
+
 def raw_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def signed_documents(docs: DataFrame, id_column: str, text: str, bands: int, rows: int, weights: str) -> DataFrame:
-    """(id, raw, h1, h2, bytes, bands) per row: a hash of the raw text, the digest of its words; bands is empty where there are no words."""
+    """(id, raw, h1, h2, bytes, sketch, bands) per row: a hash of the raw text, the digest of its words; bands is empty where there are no words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -127,11 +144,14 @@ def signed_documents(docs: DataFrame, id_column: str, text: str, bands: int, row
             of: list[int] = []
             sets: list[tuple[np.ndarray, np.ndarray]] = []
             made: list[np.ndarray] = [np.empty((0, bands), np.uint64)]
+            drawn: list[np.ndarray] = [np.empty(0, np.uint64)]
             held = 0
 
             def flush() -> None:
                 if sets:
-                    made.append(bands_of(signatures(sets, bands * rows), bands, rows))
+                    sigs = signatures(sets, bands * rows)
+                    made.append(bands_of(sigs, bands, rows))
+                    drawn.append(sketches_of(sigs))
                     sets.clear()
 
             for t in b.column(2):
@@ -156,15 +176,17 @@ def signed_documents(docs: DataFrame, id_column: str, text: str, bands: int, row
             every, at = signed(np.concatenate(made)), np.array(of, np.int64)
             offsets = np.concatenate([[0], np.cumsum(np.where(at < 0, 0, bands))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(every[at[at >= 0]].ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int64()), lists], ["id", "raw", "h1", "h2", "bytes", "bands"])
+            sketch = signed(np.append(np.concatenate(drawn), np.uint64(0))[at])
+            cols = [b.column(0), b.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "raw", "h1", "h2", "bytes", "sketch", "bands"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows_in = docs.select(F.col(id_column).alias("id"), raw_hash(F.col(text)).alias("raw"), F.col(text).cast("binary").alias("text"))
-    return rows_in.mapInArrow(sign, f"id {kind}, raw long, h1 long, h2 long, bytes long, bands array<long>")
+    return rows_in.mapInArrow(sign, f"id {kind}, raw long, h1 long, h2 long, bytes long, sketch long, bands array<long>")
 
 
-def jaccard_links(sets: list[tuple[np.ndarray, np.ndarray]], parts: np.ndarray, similarity: float) -> Forest:
-    """Union-find over the pairs at ``similarity`` or above: all pairs of a unit, by blocks of the overlap matrix.
+def jaccard_links(sets: list[tuple[np.ndarray, np.ndarray]], rest: np.ndarray, similarity: float) -> Forest:
+    """Union-find over the pairs at ``similarity`` or above: all pairs of a unit but those among ``rest``, by blocks of the overlap matrix.
 
     Weighted overlap is summed layer by layer: an element of weight k is k columns. Overlaps come from a dense
     text-by-shingle matrix over a few thousand shingles at a time.
@@ -200,43 +222,51 @@ def jaccard_links(sets: list[tuple[np.ndarray, np.ndarray]], parts: np.ndarray,
         m[owner[lo:hi], column[lo:hi] - at] = 1
         overlap += m @ m.T
     union = size[:, None] + size[None, :] - overlap
-    a, b = np.nonzero(np.triu(overlap >= similarity * union - 1e-6, 1))
+    like = overlap >= similarity * union - 1e-6
+    like &= ~(rest[:, None] & rest[None, :])
+    a, b = np.nonzero(np.triu(like, 1))
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         forest.join(x, y)
     return forest
 
 
-def verified_links(members: DataFrame, similarity: float, weights: str) -> DataFrame:
-    """(a, b) of a spanning forest of the links; rows of ``members`` are (comp, node, bytes, text)."""
+def verified_links(rows: DataFrame, similarity: float, weights: str) -> DataFrame:
+    """(a, b) of a spanning forest of the links of each unit; ``rows`` are (unit, role, node, text)."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for t in runs(batches, "unit"):
             nodes, at = np.unique(t.column("node").to_numpy(), return_index=True)
+            if len(nodes) < 2:
+                continue
             texts = [t.column("text")[int(i)].as_py() for i in at]
             sets = [shingle_set(words_of(x), ids, weights) for x in texts]
-            forest = jaccard_links(sets, at, similarity)
+            forest = jaccard_links(sets, t.column("role").to_numpy()[at] == 1, similarity)  # rows come by role within a node
             pairs = [(int(nodes[k]), int(nodes[forest.find(k)])) for k in range(len(nodes)) if forest.find(k) != k]
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
-    return by_runs(cut_units(members, "node").select("unit", "node", "text"), "unit", verify, "a long, b long")
+    return by_runs(rows.select("unit", "node", "role", "text"), "unit", verify, "a long, b long", "node", "role")
 
 
-def near_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "binary") -> DataFrame:
+def near_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "counts") -> DataFrame:
     """(id, raw, class_id, lead) per row of ``docs``: raw is ``raw_hash`` of the text, lead marks the rows equal to the one that stands for the class."""
     known = kept(signed_documents(docs, id_column, text, bands, rows, weights), "signed")
     # copies stand for each other: one row a digest, that of the least id (null ids last)
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw", "bytes", "bands")).alias("first")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "raw", "bytes", "sketch", "bands")).alias("first")
     copies = known.groupBy("h1", "h2").agg(first).select("h1", "h2", F.xxhash64("h1", "h2").alias("node"), "first")
     copies = kept(copies, "copies")
-    banded = copies.select("node", F.explode("first.bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    candidates = kept(components(banded.join(least, "band").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))), "candidates")
+    banded = copies.select(F.explode("first.bands").alias("key"), "node", F.col("first.sketch").alias("sketch"))
+    candidates = bucket_groups(banded, close)
     # the whole texts of the candidates, by id and raw hash of their first rows
     picked = copies.join(candidates, "node").select("comp", "node", F.col("first.bytes").alias("bytes"), F.col("first.id").alias("pick_id"), F.col("first.raw").alias("pick_raw"))
     texts = docs.select(F.col(id_column).alias("id"), raw_hash(F.col(text)).alias("raw"), F.col(text).cast("binary").alias("text"))
-    members = texts.join(picked, F.col("id").eqNullSafe(F.col("pick_id")) & (F.col("raw") == F.col("pick_raw"))).select("comp", "node", "bytes", "text")
-    links = kept(verified_links(members, similarity, weights), "links")
+
+    def links_in(units: DataFrame) -> DataFrame:
+        members = texts.join(units, F.col("id").eqNullSafe(F.col("pick_id")) & (F.col("raw") == F.col("pick_raw")))
+        return verified_links(members.select("unit", "role", "node", "text"), similarity, weights)
+
+    links = compared(picked, links_in)
     classes = copies.join(components(links), "node", "left").select("h1", "h2", F.struct("first.no_id", "first.id", "first.raw").alias("first"), F.coalesce("comp", "node").alias("comp"))
     classes = kept(classes, "classes")
     named = classes.join(classes.groupBy("comp").agg(F.min("first").alias("of")), "comp").select("h1", "h2", "of")

@@ -11,12 +11,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodeworks.llm import near_dedup as nd
-from lodeworks.llm.common import Forest, WordIds, components, kept, window_hashes
+from lodeworks.llm.common import Forest, WordIds, bucket_groups, components, kept, sketch_forest, window_hashes
 from lodeworks.llm.decontamination import QUESTION, halves, op4_decontamination, shingles, with_leaks, words_of
-from lodeworks.llm.line_dedup import BITS, close_forest, dedup_lines, edit_distance, line_hashes, op2_line_dedup, removed_lines, similar, simhashes
+from lodeworks.llm.line_dedup import AGREE, close, dedup_lines, edit_distance, edit_distances, gram_marks, may_be_similar, op2_line_dedup, places_of, removed_lines, similar
 from lodeworks.llm.lm_score import lm_scores, op9_lm_score
 from lodeworks.llm.packing import SIZES, best_fit, op10_packing, pack, pack_documents, word_count
 from lodeworks.llm.warc import chunked, op5_warc_segments, parse, read_archives, unchunked, write_archives
@@ -59,52 +60,78 @@ def test_edit_distance():
         a, b = ("".join(rng.choice("abé") for _ in range(rng.randrange(25))) for _ in range(2))
         assert edit_distance(a, b) == levenshtein(a, b)
         assert similar(a, b) == (levenshtein(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
-
-
-def test_simhash_and_close_pairs():
-    rng = np.random.default_rng(0)
-    h = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
-    starts = np.array([0, 1, 5, 400, 1500])
-    bits = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(int)
-    want = [2 * bits[a:b].sum(0) > b - a for a, b in zip(starts, [*starts[1:], 2000], strict=True)]
-    got = simhashes(h, starts)
-    assert np.array_equal(got, np.packbits(np.array(want), axis=1).view(np.uint64).ravel())
-    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    sims = np.unique(np.concatenate([base ^ np.uint64(0 if k == 0 else (1 << int(rng.integers(0, 63)))) for k in range(70)]))
-    f = Forest(len(sims))
-    for i in range(len(sims)):
-        for j in np.flatnonzero(np.bitwise_count(sims ^ sims[i]) <= BITS):
-            f.join(i, int(j))
-    g = Forest(len(sims))
-    for i, j in close_forest(sims):
-        g.join(i, j)
-    assert [f.find(i) for i in range(len(sims))] == [g.find(i) for i in range(len(sims))]
-
-
-def test_line_hashes():
-    """Word order, repeats and neighbouring lines don't count; every word does."""
-    lines = [b"a b", b"b a a a", "é x \U0001f600".encode(), b"q", b"w " * 700 + b"end"]
-    got = line_hashes(lines)
-    assert got[0] == got[1] and len(set(got.tolist())) == 4
-    assert [line_hashes([x])[0] for x in lines] == got.tolist()
-    words = [f"w{i}".encode() for i in range(300)]
-    one, two = line_hashes([b" ".join(words), b" ".join([*words[:-1], b"other"])])
-    assert 0 <= np.bitwise_count(one ^ two) <= 16
+    for _ in range(40):
+        a, *others = ("".join(rng.choice("abé") for _ in range(rng.randrange(1, 25))) for _ in range(8))
+        assert edit_distances(a, others, list(map(places_of, others))) == [levenshtein(a, b) for b in others]
+
+
+def test_gram_marks():
+    """Pairs that the count of shared grams rules out are never similar."""
+    rng = random.Random(12)
+    ruled = 0
+    for _ in range(400):
+        a = [rng.choice("abc é") for _ in range(rng.randrange(1, 90))]
+        b = list(a)
+        for _ in range(rng.randrange(len(a) // 2 + 1)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+        a, b = "".join(a), "".join(b)
+        if not may_be_similar(gram_marks(a), gram_marks(b), max(len(a), len(b))):
+            ruled += 1
+            assert not similar(a, b)
+    assert ruled > 50
+
+
+def test_close_sketches():
+    rng = random.Random(6)
+    for _ in range(300):
+        a = [rng.randrange(16) for _ in range(14)]
+        b = [x if rng.random() < 0.3 else rng.randrange(16) for x in a]
+        steps = rng.randrange(20), rng.randrange(20)
+        packed = (np.array([sum(x << 4 * k for k, x in enumerate(y)) | n << 56], np.uint64) for y, n in zip((a, b), steps, strict=True))
+        assert bool(close(*packed)[0]) == (sum(x == y for x, y in zip(a, b, strict=True)) >= AGREE and abs(steps[0] - steps[1]) <= 6)
+
+
+@pytest.mark.parametrize("hot", [10, 1000])
+def test_bucket_forests(spark, hot):
+    """Forests connect what all close pairs of a bucket connect; buckets beyond the bound hang on one member."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(6), node, rng.choice([0, 1, 3, -1, -2])) for node in range(60)]
+    rows += [(100, node, 0) for node in range(500, 530)] + rows[:5]
+    near = lambda a, b: np.bitwise_count(a ^ b) <= 1
+    f = Forest(1000)
+    for k, a, x in rows:
+        size = len({r[1] for r in rows if r[0] == k})
+        for j, b, y in rows:
+            if j == k and (size > hot or bin((x ^ y) & (1 << 64) - 1).count("1") <= 1):
+                f.join(a, b)
+    g, first = Forest(1000), {}
+    for r in bucket_groups(spark.createDataFrame(rows, "key long, node long, sketch long").coalesce(1), near, hot).collect():
+        g.join(first.setdefault(r["comp"], r["node"]), r["node"])
+    if hot == 1000:
+        assert [f.find(i) for i in range(1000)] == [g.find(i) for i in range(1000)]
+    else:  # a bucket at the bound may go either way: at least the close pairs are tied, at most the whole bucket
+        assert len({g.find(i) for i in range(500, 530)}) == 1 and all(f.find(i) == f.find(g.find(i)) for i in range(1000))
+    assert sketch_forest(np.array([1, 3, 8], np.uint64), near) == [(0, 1)]
 
 
 def brute_lines(pairs):
+    """Line numbers to remove by edit similarity alone: all pairs of lines that a bound on the edits by character counts leaves."""
     occurrences = defaultdict(list)
     for doc, text in pairs:
         for k, line in enumerate((text or "").split("\n")):
             w = line.lower().split()
-            if len(w) >= 2:
+            if len(w) >= 2 or len("".join(w).encode()) >= 24:
                 occurrences[" ".join(w)].append((doc, k))
     keys = list(occurrences)
-    sims = np.array([line_hashes([k.encode()])[0] for k in keys], np.uint64)
+    size = np.array([len(k) for k in keys])
+    held = np.array([np.bincount(np.frombuffer(k.encode("utf-32-le"), np.uint32) % 97, minlength=97) for k in keys]).reshape(-1, 97)
     f = Forest(len(keys))
     for i in range(len(keys)):
-        for j in np.flatnonzero(np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= BITS) + i + 1:
-            if similar(keys[i], keys[j]):
+        most = np.floor(0.2 * np.maximum(size[i + 1 :], size[i]) + 1e-9)
+        # an edit changes the counts of two characters by one at most
+        for j in np.flatnonzero((abs(size[i + 1 :] - size[i]) <= most) & (np.abs(held[i + 1 :] - held[i]).sum(axis=1) <= 2 * most)) + i + 1:
+            if f.find(i) != f.find(int(j)) and similar(keys[i], keys[j]):
                 f.join(i, int(j))
     lead = {}
     for i, k in enumerate(keys):
@@ -117,14 +144,22 @@ def brute_lines(pairs):
     return {d: sorted(v) for d, v in gone.items()}
 
 
+def shares(got, want):
+    """Share of the wanted (document, line) pairs that are found; no other may be."""
+    got, want = ({(i, k) for i, v in x.items() for k in v} for x in (got, want))
+    assert got <= want
+    return len(got) / max(1, len(want))
+
+
 def test_line_dedup_against_brute_force(spark, sf_dir):
-    want = brute_lines(texts_of(spark, sf_dir))
-    for r in op2_line_dedup(spark, sf_dir).collect():
-        assert r["removed_lines"] == want.get(r["doc_id"], []) and r["n_removed"] == len(r["removed_lines"])
+    """Candidates are probabilistic: nothing goes that brute force keeps, and at most 2 % of what it removes stays."""
+    rows = op2_line_dedup(spark, sf_dir).collect()
+    assert all(r["n_removed"] == len(r["removed_lines"]) for r in rows)
+    assert shares({r["doc_id"]: r["removed_lines"] for r in rows}, brute_lines(texts_of(spark, sf_dir))) >= 0.98
 
 
 def test_edited_lines_go(spark, docs):
-    """Lines of 3 to 60 words with a few edited characters, against a brute force on edit similarity of 0.8 alone."""
+    """Lines of 3 to 60 words with 6 % of the characters edited singly, the hardest edits for grams, against a brute force on edit similarity of 0.8 alone."""
     rng = random.Random(8)
 
     def word():
@@ -143,7 +178,17 @@ def test_edited_lines_go(spark, docs):
             want.add(j)
     assert len(want) == 60
     gone = {r["id"] for r in removed_lines(docs(list(enumerate(lines)))).collect()}
-    assert gone == want
+    assert gone <= want and len(gone) >= 0.95 * len(want)
+
+
+def test_lines_with_a_changed_word_go(spark, docs):
+    rng = random.Random(5)
+    lines = []
+    for k in range(60):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 7))) for _ in range(8 + k)]
+        at = rng.randrange(len(words))
+        lines += [" ".join(words), " ".join([*words[:at], "zz" + words[at][2:], *words[at + 1 :]])]
+    assert {r["id"] for r in removed_lines(docs(list(enumerate(lines)))).collect()} == set(range(1, 120, 2))
 
 
 def test_line_dedup_odd_rows(spark, docs):
@@ -171,18 +216,23 @@ def test_dart_signatures_estimate_similarity():
     assert len(nd.signature(h[:1], w[:1], 96)) == 96
 
 
-def brute_classes(pairs):
+def brute_classes(pairs, weighted=True):
     sets = []
     for doc, text in pairs:
         w = (text or "").lower().split()
-        sets.append((doc, frozenset(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)])))
+        c = Counter(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else Counter([tuple(w)])
+        sets.append((doc, c if weighted else Counter(set(c))))
     f, holders = Forest(len(sets)), defaultdict(list)
     for k, (_, s) in enumerate(sets):
-        for x in s:
-            holders[x].append(k)
-    both = Counter((a, b) for v in holders.values() for i, a in enumerate(v) for b in v[i + 1 :])
+        for x, n in s.items():
+            holders[x].append((k, n))
+    both = Counter()
+    for v in holders.values():
+        for i, (a, m) in enumerate(v):
+            for b, n in v[i + 1 :]:
+                both[a, b] += min(m, n)
     for (a, b), n in both.items():
-        if n >= 0.8 * (len(sets[a][1]) + len(sets[b][1]) - n):
+        if n >= 0.8 * (sets[a][1].total() + sets[b][1].total() - n):
             f.join(a, b)
     least = {}
     for k, (doc, _) in enumerate(sets):
@@ -190,6 +240,12 @@ def brute_classes(pairs):
     return {doc: least[f.find(k)] for k, (doc, _) in enumerate(sets)}
 
 
+def test_plain_jaccard_classes(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(docs, weights="binary").collect()}
+    assert got == brute_classes(texts_of(spark, sf_dir), weighted=False)
+
+
 def test_near_classes_against_brute_force(spark, sf_dir):
     want = brute_classes(texts_of(spark, sf_dir))
     rows = nd.op8_near_dedup(spark, sf_dir).collect()
@@ -197,16 +253,17 @@ def test_near_classes_against_brute_force(spark, sf_dir):
     assert {r["doc_id"] for r in rows if r["keep"]} == set(want.values())
 
 
-def test_near_groups_are_cut_exactly(spark, docs, monkeypatch):
-    """A large group of near copies, verified in many units, comes out as in brute force."""
+@pytest.mark.parametrize("edits", [2, 3, 5])
+def test_near_groups_are_cut_exactly(spark, docs, monkeypatch, edits):
+    """A large group of near copies, verified in many units, comes out as in brute force, also where its least member ties few of them."""
     monkeypatch.setattr("lodeworks.llm.common.UNIT_BYTES", 4000)
     rng = random.Random(1)
     base = [f"w{rng.randrange(3000)}" for _ in range(120)]
     pairs = []
     for k in range(60):
         t = list(base)
-        t[rng.randrange(120)] = f"x{k}"
-        t[rng.randrange(120)] = f"y{k}"
+        for _ in range(1 + k % edits):
+            t[rng.randrange(120)] = f"x{k}"
         pairs.append((k, " ".join(t)))
     pairs += [(100 + k, " ".join(f"v{rng.randrange(3000)}" for _ in range(80))) for k in range(20)]
     got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(docs(pairs)).collect()}
@@ -227,7 +284,7 @@ def test_near_odd_rows(spark, docs):
 def test_weighted_links():
     ids = WordIds()
     sets = [nd.shingle_set(t.split(), ids, "counts") for t in ("a b c d e " * 4, "a b c d e " * 4 + "a", "a b c d e")]
-    f = nd.jaccard_links(sets, None, 0.8)
+    f = nd.jaccard_links(sets, np.zeros(3, bool), 0.8)
     assert f.find(0) == f.find(1) != f.find(2)
     assert len(window_hashes(np.arange(3, dtype=np.uint64), 5)) == 1
 
@@ -384,10 +441,10 @@ def test_packing(spark, sf_dir):
 
 def test_packing_odd_rows(spark, docs):
     made = docs([(1, None), (2, ""), (3, "w " * 10_000), (None, "a b"), (5, "a"), (6, "w " * 4096)]).withColumnRenamed("lang", "bin_id").withColumnRenamed("source", "shard")
-    rows = pack_documents(made, word_count(made["text"]), shard_pieces=3).collect()
+    rows = pack_documents(made, word_count(F.col("text")), shard_pieces=3).collect()
     check_packing(rows, {1: 0, 2: 0, 3: 10_000, None: 2, 5: 1, 6: 4096})
-    twice = pack_documents(docs([(1, "a b"), (1, "a b")]), word_count(made["text"])).collect()
-    assert len(twice) == 2 and pack_documents(made.limit(0), word_count(made["text"])).count() == 0
+    twice = pack_documents(docs([(1, "a b"), (1, "a b")]), word_count(F.col("text"))).collect()
+    assert len(twice) == 2 and pack_documents(made.limit(0), word_count(F.col("text"))).count() == 0
 
 
 # WARC
@@ -458,7 +515,8 @@ def test_pipeline(spark, sf_dir):
             after = {r["doc_id"]: r["text"] for r in out.collect()}
             assert set(after) <= set(before)
         if name == "line_dedup":
-            gone = brute_lines(before.items())
+            gone = {r["id"]: r["removed"] for r in removed_lines(docs).collect()}
+            assert shares(gone, brute_lines(before.items())) >= 0.98
             want = {i: "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone.get(i, [])) for i, t in before.items()}
             assert after == {i: t for i, t in want.items() if t.strip()}
         if name == "near_dedup":
