@@ -320,9 +320,8 @@ def second_units(members: DataFrame, links: DataFrame) -> DataFrame | None:
 def compared(members: DataFrame, links_in: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b): links among the members of each group such that any two members whose texts are similar end up connected.
 
-    ``links_in`` turns rows of ``members`` with ``unit`` and ``role`` into links.
+    ``links_in`` turns rows of ``members`` with ``unit`` and ``role`` into links. ``members`` should be ``kept``.
     """
-    members = kept(members, "members")
     links = kept(links_in(first_units(members)), "links")
     more = second_units(members, links)
     return links if more is None else links.unionByName(kept(links_in(more), "links"))

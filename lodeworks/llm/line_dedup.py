@@ -5,9 +5,9 @@ space made one space. Lines equal after that are one node. Two nodes link if the
 1 - distance / length of the longer, is 0.8 or more. Of each connected group of links the first occurrence in the corpus
 (least document id, then line) stays; the others are removed from their texts.
 
-Candidates: a line's fingerprint is a row of MinHash values over its grams of bytes, cut into blocks of two values, their
-distance in the line and about the place of the first (from the line's start in one half of the blocks, from its end in
-the other); lines that agree in a block meet in a bucket. Short lines, of which an edit changes a greater
+Candidates: a line's fingerprint is a row of MinHash values over its grams of bytes, cut into blocks: two values, the next
+block's first, the distance of the two in the line and about the place of the first (from the line's start in one half of
+the blocks, from its end in the other). Lines that agree in a block meet in a bucket. Short lines, of which an edit changes a greater
 share, have shorter grams; of long lines a quarter of the grams, picked by hash, takes part (``SCHEMES``). In a bucket,
 64-bit sketches (four bits of each of fourteen values, and the length) must agree in ``AGREE`` places and about in length.
 Chains of close pairs make groups within one bucket, never across buckets; close lines of a group are compared whole, in
@@ -38,7 +38,7 @@ MIN_BYTES = 24
 #: (least bytes of a line, bytes it stays below, bytes of a gram, one gram in so many, bytes that distances are rounded to).
 #: Lines whose lengths lie on both sides of a bound meet by the scheme that they share.
 SCHEMES = ((0, 48, 3, 1, 4), (38, 256, 6, 1, 16), (204, 1 << 62, 6, 4, 16))
-BLOCKS = 12
+BLOCKS = 8
 #: A key modulo this is the number of its scheme.
 KINDS = np.uint64(4)
 #: Values of a sketch, four bits each, and how many must agree; steps of the length in it to a doubling, and how many lengths may differ.
@@ -119,9 +119,11 @@ def block_keys(lines: list[bytes], scheme: int) -> tuple[np.ndarray, np.ndarray]
     apart = signed_steps(place[:, ::2] - place[:, 1::2], step)
     place = place[:, ::2].copy()
     place[:, 1::2] -= np.array([min(len(x), int(PLACE)) for x in lines])[:, None]
-    first = signed_steps(place, 8 * step)
+    about = signed_steps(place, 8 * step)
     block = np.arange(BLOCKS, dtype=np.uint64) * np.uint64(64) + np.uint64(scheme)
-    key = mix64(mix64(mix64(mix64(block ^ value[:, ::2]) + value[:, 1::2]) + apart) + first)
+    key = mix64(block ^ value[:, ::2])
+    for more in (value[:, 1::2], np.roll(value[:, ::2], -1, axis=1), apart, about):
+        key = mix64(key + more)
     return key - key % KINDS + np.uint64(scheme), sketch
 
 
@@ -139,20 +141,43 @@ def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def line_rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, raw, line, bytes, h1, h2): a row per line that counts; h1 and h2 are the normalised line's digest."""
+    """(id, raw, line, bytes, h1, h2, keys, sketches): a row per line that counts; h1 and h2 are the normalised line's digest.
+
+    keys are ``BLOCKS`` bucket keys for each scheme of the line, sketches one for each. A task leaves both null in a line
+    that it has lately sent, so repeats of a common line don't fill its buckets.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, raws = b.column(0).to_numpy(), b.column(1).to_numpy()
-            row, line, held, size = [], [], [], 0
+        sent: set[bytes] = set()
 
-            def out() -> pa.RecordBatch:
-                at = np.array(row, np.int64)
-                d = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, held)), np.int64).reshape(-1, 2)
-                sizes = pa.array(list(map(len, held)), pa.int32())
-                cols = [pa.array(keys[at]), pa.array(raws[at]), pa.array(line, pa.int32()), sizes, pa.array(d[:, 0]), pa.array(d[:, 1])]
-                return pa.RecordBatch.from_arrays(cols, ["id", "raw", "line", "bytes", "h1", "h2"])
+        def out(ids: np.ndarray, raws: np.ndarray, line: list[int], held: list[bytes]) -> pa.RecordBatch:
+            digests = list(map(xxhash.xxh3_128_digest, held))
+            n = len(held)
+            fresh = np.zeros(n, bool)
+            for i, d in enumerate(digests):
+                if d not in sent:
+                    if len(sent) >= SENT_LINES:
+                        sent.clear()
+                    sent.add(d)
+                    fresh[i] = True
+            size = np.fromiter(map(len, held), np.int64, n)
+            mine = [np.flatnonzero(fresh & (least <= size) & (size < below)) for least, below, *_ in SCHEMES]
+            many = sum(np.bincount(at, minlength=n) for at in mine)
+            start = np.cumsum(many) - many
+            keys, sketches = np.empty((many.sum(), BLOCKS), np.uint64), np.empty(many.sum(), np.uint64)
+            for k, at in enumerate(mine):
+                if len(at):
+                    keys[start[at]], sketches[start[at]] = block_keys([held[i] for i in at], k)
+                    start[at] += 1  # a line's next scheme goes behind
+            ends = np.append(0, np.cumsum(many)).astype(np.int32)
+            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            lists = [pa.ListArray.from_arrays(pa.array(ends * w), pa.array(signed(x.ravel())), mask=pa.array(many == 0)) for w, x in ((BLOCKS, keys), (1, sketches))]
+            cols = [pa.array(ids), pa.array(raws), pa.array(line, pa.int32()), pa.array(size.astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1]), *lists]
+            return pa.RecordBatch.from_arrays(cols, ["id", "raw", "line", "bytes", "h1", "h2", "keys", "sketches"])
 
+        for b in batches:
+            ids, raws = b.column(0).to_numpy(), b.column(1).to_numpy()
+            row, line, held, size = [], [], [], 0
             for i, t in enumerate(b.column(2)):
                 t = t.as_py()
                 if not t:
@@ -164,57 +189,19 @@ def line_rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                         held.append(x)
                         size += len(x)
                 if size >= HELD_BYTES:
-                    yield out()
+                    yield out(ids[row], raws[row], line, held)
                     row, line, held, size = [], [], [], 0
             if row:
-                yield out()
+                yield out(ids[row], raws[row], line, held)
 
     rows = docs.select(*row_keys(docs, id_column, text), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(cut, "id long, raw long, line int, bytes int, h1 long, h2 long")
-
-
-def bucket_rows(docs: DataFrame, text: str) -> DataFrame:
-    """(key, node, sketch): a row per line and block.
-
-    A task sends a line it has lately sent not again, so repeats of a common line don't fill its buckets.
-    """
+    return rows.mapInArrow(cut, "id long, raw long, line int, bytes int, h1 long, h2 long, keys array<long>, sketches array<long>")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
-
-        def out(held: list[bytes], digests: list[bytes]) -> Iterator[pa.RecordBatch]:
-            for k, (least, below, *_) in enumerate(SCHEMES):
-                at = [i for i, x in enumerate(held) if least <= len(x) < below]
-                if not at:
-                    continue
-                node = np.frombuffer(b"".join(digests[i] for i in at), np.int64)[::2]
-                keys, sketch = block_keys([held[i] for i in at], k)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BLOCKS), pa.int32()), pa.array(signed(keys.ravel())))
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(signed(sketch)), keys], ["node", "sketch", "keys"])
-
-        for b in batches:
-            held, digests, size = [], [], 0
-            for t in b.column(0):
-                t = t.as_py()
-                for x in lines_of_text(t) if t else ():
-                    if not counts(x):
-                        continue
-                    d = xxhash.xxh3_128_digest(x)
-                    if d not in sent:
-                        if len(sent) >= SENT_LINES:
-                            sent.clear()
-                        sent.add(d)
-                        held.append(x)
-                        digests.append(d)
-                        size += len(x)
-                if size >= HELD_BYTES:
-                    yield from out(held, digests)
-                    held, digests, size = [], [], 0
-            if held:
-                yield from out(held, digests)
 
-    rows = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(cut, "node long, sketch long, keys array<long>")
-    return rows.select(F.explode("keys").alias("key"), "node", "sketch")
+def bucket_rows(lines: DataFrame) -> DataFrame:
+    """(key, node, sketch): a row per line and block; ``lines`` are those of ``line_rows``."""
+    rows = lines.where("keys is not null").select(F.col("h1").alias("node"), "sketches", F.posexplode("keys").alias("at", "key"))
+    return rows.select("key", "node", F.get("sketches", F.floor(F.col("at") / BLOCKS).cast("int")).alias("sketch"))
 
 
 def common_start(a: str, b: str) -> int:
@@ -422,12 +409,12 @@ def in_filter(bits: np.ndarray, node: np.ndarray) -> np.ndarray:
     return out
 
 
-def lines_of(docs: DataFrame, picked: DataFrame, text: str) -> DataFrame:
-    """(unit, role, node, sketch, text): the normalised lines of the nodes of ``picked`` (unit, role, node, sketch).
+def lines_of(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+    """(node, text): the normalised lines of ``nodes`` (node).
 
     A filter of the wanted nodes keeps most other lines out of the shuffle; the join settles which are wanted.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(wanted_filter(picked.select("node").distinct()))
+    sent = docs.sparkSession.sparkContext.broadcast(wanted_filter(nodes))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -462,7 +449,7 @@ def lines_of(docs: DataFrame, picked: DataFrame, text: str) -> DataFrame:
                 yield out()
 
     rows = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(pick, "node long, text string")
-    return rows.join(picked.select("unit", "role", "node", "sketch"), "node")
+    return rows.join(nodes, "node").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lines: DataFrame | None = None) -> DataFrame:
@@ -471,9 +458,10 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     order = F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "raw", "line")
     nodes = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.min("bytes").alias("bytes"))
     nodes = kept(nodes.select("h1", "h2", F.col("h1").alias("node"), "first", "n", "bytes"), "nodes")
-    grouped = bucket_groups(bucket_rows(docs, text), close, kinds=int(KINDS))
-    picked = nodes.join(grouped, "node").select("comp", "node", "sketch", "bytes")
-    links = compared(picked, lambda rows: line_links(lines_of(docs, rows, text)))
+    grouped = bucket_groups(bucket_rows(lines), close, kinds=int(KINDS))
+    picked = kept(nodes.join(grouped, "node").select("comp", "node", "sketch", "bytes"), "picked")
+    texts = kept(lines_of(docs, kept(picked.select("node").distinct(), "wanted"), text), "texts")
+    links = compared(picked, lambda rows: line_links(rows.join(texts, "node")))
     same = kept(components(links), "groups")
     # groups of one node need no links; their occurrences meet by digest
     of = nodes.join(same, "node", "left").select("h1", "h2", "first", "n", F.col("comp").isNotNull().alias("grouped"), F.coalesce("comp", "node").alias("comp")).where("n > 1 or grouped")

@@ -266,7 +266,7 @@ def near_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", si
         members = texts.join(units, F.col("id").eqNullSafe(F.col("pick_id")) & (F.col("raw") == F.col("pick_raw")))
         return verified_links(members.select("unit", "role", "node", "text"), similarity, weights)
 
-    links = compared(picked, links_in)
+    links = compared(kept(picked, "picked"), links_in)
     classes = copies.join(components(links), "node", "left").select("h1", "h2", F.struct("first.no_id", "first.id", "first.raw").alias("first"), F.coalesce("comp", "node").alias("comp"))
     classes = kept(classes, "classes")
     named = classes.join(classes.groupBy("comp").agg(F.min("first").alias("of")), "comp").select("h1", "h2", "of")
