@@ -242,18 +242,43 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return distance
 
 
+#: Characters that two texts must share to be cut there.
+ANCHOR = 10
+
+
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both without their common start and end."""
+    k = common_start(a, b)
+    a, b = a[k:], b[k:]
+    k = common_start(a[::-1], b[::-1])
+    return (a[:-k], b[:-k]) if k else (a, b)
+
+
+def most_edits(a: str, b: str) -> int:
+    """An upper bound of the distance: texts are cut at pieces that both hold, and what is left between counts as changed."""
+    total, todo = 0, [(a, b)]
+    while todo:
+        a, b = trimmed(*todo.pop())
+        n = len(a)
+        for m in (n // 2, n // 4, 3 * n // 4) if n >= 2 * ANCHOR <= len(b) else ():
+            at = m - ANCHOR // 2
+            k = b.find(a[at : at + ANCHOR])
+            if k >= 0:
+                todo += [(a[:at], b[:k]), (a[at + ANCHOR :], b[k + ANCHOR :])]
+                break
+        else:
+            total += max(n, len(b))
+    return total
+
+
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Whether 1 - distance / longer length reaches ``similarity``."""
     longer = max(len(a), len(b))
     most = int((1 - similarity) * longer + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    k = common_start(a, b)
-    a, b = a[k:], b[k:]
-    k = common_start(a[::-1], b[::-1])
-    if k:
-        a, b = a[:-k], b[:-k]
-    return max(len(a), len(b)) <= most or edit_distance(a, b, most) <= most
+    a, b = trimmed(a, b)
+    return max(len(a), len(b)) <= most or most_edits(a, b) <= most or edit_distance(a, b, most) <= most
 
 
 def places_of(text: str) -> dict[str, bytes]:
@@ -367,11 +392,14 @@ def line_links(rows: DataFrame) -> DataFrame:
                     if may_be_similar(marks[i], marks[j], max(size[i], size[j])):
                         todo.append(j)
                 if len(todo) > 2:
-                    for j in todo:
+                    most = {j: int((1 - SIMILARITY) * max(size[i], size[j]) + 1e-9) for j in todo}
+                    sure = [j for j in todo if most_edits(texts[i], texts[j]) <= most[j]]
+                    unsure = [j for j in todo if j not in set(sure)]
+                    for j in unsure:
                         if places[j] is None:
                             places[j] = places_of(texts[j])
-                    far = edit_distances(texts[i], [texts[j] for j in todo], [places[j] for j in todo])
-                    todo = [j for j, d in zip(todo, far, strict=True) if d <= int((1 - SIMILARITY) * max(size[i], size[j]) + 1e-9)]
+                    far = edit_distances(texts[i], [texts[j] for j in unsure], [places[j] for j in unsure]) if unsure else []
+                    todo = sure + [j for j, d in zip(unsure, far, strict=True) if d <= most[j]]
                 else:
                     todo = [j for j in todo if similar(texts[i], texts[j])]
                 for j in todo:

@@ -17,7 +17,7 @@ import corpus_pipeline
 from lodeworks.llm import near_dedup as nd
 from lodeworks.llm.common import Forest, WordIds, bucket_groups, components, kept, sketch_forest, window_hashes
 from lodeworks.llm.decontamination import QUESTION, halves, op4_decontamination, shingles, with_leaks, words_of
-from lodeworks.llm.line_dedup import AGREE, close, dedup_lines, edit_distance, edit_distances, gram_marks, may_be_similar, op2_line_dedup, places_of, removed_lines, similar
+from lodeworks.llm.line_dedup import AGREE, close, dedup_lines, edit_distance, edit_distances, gram_marks, may_be_similar, most_edits, op2_line_dedup, places_of, removed_lines, similar
 from lodeworks.llm.lm_score import lm_scores, op9_lm_score
 from lodeworks.llm.packing import SIZES, best_fit, op10_packing, pack, pack_documents, word_count
 from lodeworks.llm.warc import chunked, op5_warc_segments, parse, read_archives, unchunked, write_archives
@@ -59,6 +59,7 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ("".join(rng.choice("abé") for _ in range(rng.randrange(25))) for _ in range(2))
         assert edit_distance(a, b) == levenshtein(a, b)
+        assert levenshtein(a, b) <= most_edits(a, b) <= max(len(a), len(b), 1) * 2
         assert similar(a, b) == (levenshtein(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
     for _ in range(40):
         a, *others = ("".join(rng.choice("abé") for _ in range(rng.randrange(1, 25))) for _ in range(8))
