@@ -477,7 +477,7 @@ def lines_of(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
                 yield out()
 
     rows = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(pick, "node long, text string")
-    return rows.join(nodes, "node").groupBy("node").agg(F.first("text").alias("text"))
+    return rows.join(nodes.hint("merge"), "node").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lines: DataFrame | None = None) -> DataFrame:
@@ -487,16 +487,16 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     nodes = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.min("bytes").alias("bytes"))
     nodes = kept(nodes.select("h1", "h2", F.col("h1").alias("node"), "first", "n", "bytes"), "nodes")
     grouped = bucket_groups(bucket_rows(lines), close, kinds=int(KINDS))
-    picked = kept(nodes.join(grouped, "node").select("comp", "node", "sketch", "bytes"), "picked")
+    picked = kept(nodes.join(grouped.hint("merge"), "node").select("comp", "node", "sketch", "bytes"), "picked")
     texts = kept(lines_of(docs, kept(picked.select("node").distinct(), "wanted"), text), "texts")
-    links = compared(picked, lambda rows: line_links(rows.join(texts, "node")))
+    links = compared(picked, lambda rows: line_links(rows.join(texts.hint("merge"), "node")))
     same = kept(components(links), "groups")
     # groups of one node need no links; their occurrences meet by digest
-    of = nodes.join(same, "node", "left").select("h1", "h2", "first", "n", F.col("comp").isNotNull().alias("grouped"), F.coalesce("comp", "node").alias("comp")).where("n > 1 or grouped")
+    of = nodes.join(same.hint("merge"), "node", "left").select("h1", "h2", "first", "n", F.col("comp").isNotNull().alias("grouped"), F.coalesce("comp", "node").alias("comp")).where("n > 1 or grouped")
     of = kept(of, "repeated")
     lead = of.groupBy("comp").agg(F.min("first").alias("lead"))
     repeated = of.join(lead, "comp").select("h1", "h2", F.col("lead.id").alias("lead_id"), F.col("lead.raw").alias("lead_raw"), F.col("lead.line").alias("lead_line"))
-    out = lines.select("id", "raw", "line", "h1", "h2").join(repeated, ["h1", "h2"]).where("not (id = lead_id and raw = lead_raw and line = lead_line)")
+    out = lines.select("id", "raw", "line", "h1", "h2").join(repeated.hint("merge"), ["h1", "h2"]).where("not (id = lead_id and raw = lead_raw and line = lead_line)")
     return out.groupBy("id", "raw").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
@@ -509,7 +509,7 @@ def marked(docs: DataFrame, id_column: str = "doc_id", text: str = "text", colum
     twice = docs.select(key, raw).groupBy("id", "raw").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     every = lines.join(twice, ["id", "raw"], "left_semi").groupBy(F.col("id").alias("__id"), F.col("raw").alias("__raw")).agg(F.array_sort(F.collect_set("line")).alias("__every"))
     rows = docs.select(*(columns or docs.columns), key.alias("__id"), raw.alias("__raw"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("__lines"))
-    rows = rows.join(gone, ["__id", "__raw"], "left").join(every, ["__id", "__raw"], "left").withColumn("__copy", F.row_number().over(W.partitionBy("__id", "__raw").orderBy("__raw")))
+    rows = rows.join(gone.hint("merge"), ["__id", "__raw"], "left").join(every.hint("merge"), ["__id", "__raw"], "left").withColumn("__copy", F.row_number().over(W.partitionBy("__id", "__raw").orderBy("__raw")))
     none = F.array().cast("array<int>")
     removed = F.when(F.col("__copy") > 1, F.coalesce("__every", none)).otherwise(F.coalesce("__gone", none))
     return rows.withColumn("__removed", removed).drop("__id", "__raw", "__gone", "__every", "__copy")

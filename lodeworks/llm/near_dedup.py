@@ -259,11 +259,12 @@ def near_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", si
     banded = copies.select(F.explode("first.bands").alias("key"), "node", F.col("first.sketch").alias("sketch"))
     candidates = bucket_groups(banded, close)
     # the whole texts of the candidates, by id and raw hash of their first rows
-    picked = copies.join(candidates, "node").select("comp", "node", F.col("first.bytes").alias("bytes"), F.col("first.id").alias("pick_id"), F.col("first.raw").alias("pick_raw"))
+    picked = copies.join(candidates.hint("merge"), "node").select("comp", "node", F.col("first.bytes").alias("bytes"), F.col("first.id").alias("pick_id"), F.col("first.raw").alias("pick_raw"))
     texts = docs.select(F.col(id_column).alias("id"), raw_hash(F.col(text)).alias("raw"), F.col(text).cast("binary").alias("text"))
 
     def links_in(units: DataFrame) -> DataFrame:
-        members = texts.join(units, F.col("id").eqNullSafe(F.col("pick_id")) & (F.col("raw") == F.col("pick_raw")))
+        # merged at every size: which side is small must not decide what a larger corpus costs
+        members = texts.join(units.hint("merge"), F.col("id").eqNullSafe(F.col("pick_id")) & (F.col("raw") == F.col("pick_raw")))
         return verified_links(members.select("unit", "role", "node", "text"), similarity, weights)
 
     links = compared(kept(picked, "picked"), links_in)
