@@ -103,12 +103,15 @@ def verify(claims: DataFrame, schema: DataFrame) -> DataFrame:
         .when(s == o, "self_reference")
         .when(~F.contains("text", s) | ~F.contains("text", o), "name")
     )
-    return claims.join(F.broadcast(allowed), ["subject_type", "predicate", "object_type"], "left").withColumn("rejected", rule).drop("__ok")
+    return claims.join(allowed, ["subject_type", "predicate", "object_type"], "left").withColumn("rejected", rule).drop("__ok")
 
 
 def accepted(claims: DataFrame) -> DataFrame:
-    """Verified claims, once a chunk, ends, predicate and truth."""
-    return claims.where("rejected is null").dropDuplicates(["chunk_id", "subject_name", "predicate", "object_name", "truth"])
+    """Verified claims, once a chunk, ends, predicate and truth: the least by its other columns."""
+    key = ["chunk_id", "subject_name", "predicate", "object_name", "truth"]
+    rest = [c for c in claims.columns if c not in key]
+    kept = claims.where("rejected is null")
+    return kept.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__row")).select(*key, "__row.*").select(*claims.columns) if rest else kept.distinct()
 
 
 def unsupported(citations: DataFrame, chunks: DataFrame) -> DataFrame:

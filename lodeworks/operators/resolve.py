@@ -1,14 +1,13 @@
 """Entity resolution: blocked candidates, scores, guards, decisions, merge groups, record links and attachments.
 
-Pairs are never formed by comparing everything with everything. For the token-sort score s of two names, a shared
-three-letter piece is necessary once s is high enough; names are blocked on such pieces (of the sorted words), rare pieces
-first, and every pair that could reach the cutoff meets in a block. The score itself is an Arrow UDF over the pairs.
+Pairs are never formed by comparing everything with everything. Names at a token-sort score must share a number of letter
+pairs that follows from the score; so their rarest pairs, as many as a name may lose and one more, must meet (``blocks``).
+Every pair that could reach the cutoff meets there. The score itself is an Arrow UDF over the pairs.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,8 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import name_score, near_name, ratio
-from ..functions.text import contains_words, name_key
+from ..functions.names import name_score, name_words, near_name, ratio
+from ..functions.text import contains_words, name_key, squash
 from .graph import components
 
 # fixed values: score bounds and the order of the attachment routes
@@ -31,40 +30,58 @@ def key_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def pieces_needed(cutoff: float, gram: int = 3) -> float:
-    """Least length at which names at ``cutoff`` must share a piece of ``gram`` letters.
+def pairs_kept(length: Column, cutoff: float) -> Column:
+    """Least number of letter pairs that a key of ``length`` shares with any key at ``cutoff``.
 
-    Two keys of n letters together at score s differ by n * (1 - s/100) insertions and deletions, so one of length m has
-    at most 2m(1-s/100)/(s/100) edits against the other; edits cut it into that many stretches plus one, and if all
-    stretches are shorter than ``gram``, m <= (edits + 1) * (gram - 1) + edits.
+    Keys of la and lb letters at share s differ by (1 - s)(la + lb) insertions and deletions at most; a deletion takes two
+    pairs of the key and an insertion one, so it loses 1.5 (1 - s)(la + lb) + (la - lb) / 2 of its la - 1 pairs at most. lb
+    lies between la s / (2 - s) and la (2 - s) / s; the loss is linear in lb and greatest at an end.
     """
     s = cutoff / 100
-    per = 2 * (1 - s) / s
-    return math.inf if per * gram >= 1 else (gram - 1) / (1 - per * gram)
+    loss = max(1.5 * (1 - s) * (1 + r) + (1 - r) / 2 for r in (s / (2 - s), (2 - s) / s))
+    return F.ceil(length - 1 - length * F.lit(loss) - F.lit(1e-9))
 
 
-def grams(key: Column, gram: int = 3) -> Column:
-    n = F.length(key) - (gram - 1)
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(key, i, F.lit(gram))))).otherwise(F.array().cast("array<string>"))
+def letter_pairs(key: Column) -> Column:
+    """Pairs of neighbouring letters, each with the number of times it stood before."""
+    n = F.length(key) - 1
+    each = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(key, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(each, lambda g, i: F.concat(g, F.size(F.filter(F.slice(each, 1, i), lambda h: h == g)).cast("string")))
 
 
-def candidate_pairs(entities: DataFrame, cutoff: float = BORDERLINE, most_rows: int | None = None) -> DataFrame:
+def blocks(keyed: DataFrame, cutoff: float) -> DataFrame:
+    """(id, type, key, block): two rows at the cutoff share a block.
+
+    A key that keeps c of its n pairs shows its n - c + 1 rarest, rarity over all keys of the type. Keys too short to be
+    sure of a pair show their letters, and keys not much longer than such show theirs as well.
+    """
+    s = cutoff / 100
+    pairs = keyed.select("id", "type", F.explode(letter_pairs(F.col("key"))).alias("g"))
+    seen = pairs.groupBy("type", "g").agg(F.count("*").alias("n"))
+    ranked = pairs.join(seen, ["type", "g"]).groupBy("id", "type").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
+    rows = keyed.join(ranked, ["id", "type"], "left")
+    sure = pairs_kept(F.length("key"), cutoff)
+    shown = F.when(sure >= 1, F.transform(F.slice("gs", 1, F.size("gs") - sure.cast("int") + 1), lambda x: x["g"])).otherwise(F.transform(F.coalesce("gs", F.array().cast("array<struct<n:bigint,g:string>>")), lambda x: x["g"]))
+    loose = [n for n in range(200) if n - 1 - n * max(1.5 * (1 - s) * (1 + r) + (1 - r) / 2 for r in (s / (2 - s), (2 - s) / s)) - 1e-9 <= 0]
+    longest = int(max(loose, default=0) * (2 - s) / s)
+    letters = F.when(F.length("key") <= longest, F.array_distinct(F.split("key", ""))).otherwise(F.array().cast("array<string>"))
+    empty = F.when(F.length("key") == 0, F.array(F.lit("\x00"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("id", "type", "key", F.explode(F.concat(shown, letters, empty)).alias("block"))
+
+
+def candidate_pairs(entities: DataFrame, cutoff: float = BORDERLINE) -> DataFrame:
     """(type, a, b, score), a < b: pairs of one type whose names score ``cutoff`` or more.
 
-    ``entities`` are (id, type, name). Equal keys pair through their least id; others meet on their words when they share
-    one, on letter pieces otherwise. Names too short to be sure to share a piece meet by length within their type.
+    ``entities`` are (id, type, name). Equal keys pair through their least id; others meet in a block.
     """
     keyed = entities.select("id", "type", name_key(F.col("name")).alias("key"))
     groups = keyed.groupBy("type", "key").agg(F.min("id").alias("id"))
     same = keyed.join(groups.withColumnRenamed("id", "lead"), ["type", "key"]).where("id <> lead").select("type", F.col("lead").alias("a"), F.col("id").alias("b"), F.lit(100.0).alias("score"))
-    least = pieces_needed(cutoff)
-    short = F.length("key") <= (least if math.isfinite(least) else 10**9)
-    piece = F.explode(F.when(short, F.array(F.lit("\x00"))).otherwise(F.array().cast("array<string>")))
-    rows = groups.select("id", "type", "key", F.explode(grams(F.col("key"))).alias("piece")).unionByName(groups.select("id", "type", "key", piece.alias("piece")))
+    rows = blocks(groups.select("id", "type", "key"), cutoff)
     a, b = rows.alias("a"), rows.alias("b")
     size = F.least(F.length("a.key"), F.length("b.key")) / F.greatest(F.length("a.key"), F.length("b.key"))
     # a score s needs lengths within s / (200 - s) of each other
-    met = a.join(b, (F.col("a.type") == F.col("b.type")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.id") < F.col("b.id")) & (size >= cutoff / (200 - cutoff)))
+    met = a.join(b, (F.col("a.type") == F.col("b.type")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")) & (size >= cutoff / (200 - cutoff) - 1e-9))
     pairs = met.select(F.col("a.type").alias("type"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).distinct()
     scored = pairs.select("type", "a", "b", key_ratio("ka", "kb").alias("score")).where(F.col("score") >= cutoff)
     return scored.unionByName(same)
@@ -160,19 +177,23 @@ def best_matches(scores: DataFrame, threshold: float) -> DataFrame:
 def match_records(mentions: DataFrame, records: DataFrame, threshold: float = AUTO_MERGE, borderline: float = BORDERLINE) -> tuple[DataFrame, DataFrame]:
     """(matches, near misses) of mentions (mention, type, name) and records (ref, type, name, key).
 
-    A key in the name decides alone. Otherwise names that share a word's first letters meet; the best score at the
+    A key in the name decides alone. Otherwise names that share a word's first letters, or all letters without spaces, meet;
+    the best score at the
     threshold or above matches, ties kept, and mentions without a match keep their near misses for an adjudicator.
     """
     squashed = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+    words = lambda c: F.explode(F.array_distinct(name_words(c)))
     tokens = F.concat(F.transform(F.split("name", r"\s+"), squashed), F.array(squashed(F.col("name"))))
     said = mentions.select("mention", F.explode(F.array_distinct(tokens)).alias("k"))
     keys = records.where(F.col("key").rlike("[0-9]")).select("ref", squashed(F.col("key")).alias("k"))
     by_key = said.join(keys, "k").select("mention", F.col("ref").alias("record"), F.lit(100.0).alias("score")).distinct()
     rest = mentions.join(by_key.select("mention"), "mention", "left_anti")
     first = F.substring("w", 1, 3)
+    whole = lambda c: F.concat(F.lit("="), squash(c))
     left_words = rest.select("mention", "type", "name", words(F.col("name")).alias("w")).withColumn("w", first)
+    left_words = left_words.unionByName(rest.select("mention", "type", "name", whole(F.col("name")).alias("w")))
     right_words = records.select("ref", "type", F.col("name").alias("record_name"), words(F.col("name")).alias("w")).withColumn("w", first)
+    right_words = right_words.unionByName(records.select("ref", "type", F.col("name").alias("record_name"), whole(F.col("name")).alias("w")))
     met = left_words.join(right_words, ["type", "w"])
     pairs = met.select("mention", "name", F.col("ref").alias("record"), "record_name").distinct()
     scored = pairs.withColumn("score", name_score(threshold)("name", "record_name"))
@@ -192,9 +213,13 @@ def choose_routes(candidates: DataFrame, order: tuple[str, ...] = ROUTES) -> Dat
 def by_title(documents: DataFrame, records: DataFrame) -> DataFrame:
     """(doc_id, ref): the record whose squashed name is the longest inside the squashed title, ties by ref.
 
-    Records are few beside documents; they are broadcast only below Spark's own size bound, by its planner.
+    A name meets the titles that hold its first three letters (all of a shorter name), and only those are searched.
     """
-    met = documents.join(records, (F.col("squashed_name") != "") & F.contains(F.col("squashed_title"), F.col("squashed_name")))
+    title = F.col("squashed_title")
+    piece = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - (k - 1), F.lit(1))), lambda i: F.substring(title, i, F.lit(k)))
+    pieces = documents.where(title != "").withColumn("p", F.explode(F.array_distinct(F.flatten(F.array(piece(1), piece(2), piece(3))))))
+    names = records.where(F.col("squashed_name") != "").withColumn("p", F.substring("squashed_name", 1, 3))
+    met = pieces.join(names, "p").where(F.contains(title, F.col("squashed_name")))
     best = met.groupBy("doc_id").agg(F.min(F.struct((-F.length("squashed_name")).alias("n"), "ref")).alias("b"))
     return best.select("doc_id", "b.ref")
 

@@ -35,7 +35,7 @@ def bm25(posted: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) ->
     """
     asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     texts = posted.select("id", "size").distinct().agg(F.count("*").alias("n"), F.avg("size").alias("average"))
-    used = posted.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    used = posted.join(asked.select("term").distinct(), "term", "left_semi")
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("average")))
@@ -52,7 +52,7 @@ def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact top-k by cosine: vectors (id, v) against a few query vectors (query, v), which every task gets."""
-    scored = vectors.select("id", "v").crossJoin(F.broadcast(queries.select("query", F.col("v").alias("q"))))
+    scored = vectors.select("id", "v").crossJoin(queries.select("query", F.col("v").alias("q")))
     return ranked(scored.select("query", "id", cosine(F.col("v"), F.col("q")).alias("score")), k)
 
 

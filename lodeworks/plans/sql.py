@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import threading
+import uuid
 
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,11 @@ from .typed import Refused
 FORBIDDEN = re.compile(r"Command|Insert|Create|Drop|Alter|Delete|Update|Merge|SetCatalog|Truncate|LoadData|CacheTable|UnresolvedTableValuedFunction|ScriptTransformation|UnresolvedHint")
 
 
+#: Functions that reach out of the query: into the JVM, files, the session or the clock of a running job.
+FORBIDDEN_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "session_user", "user", "current_catalog", "current_database", "current_schema", "version", "raise_error", "assert_true", "spark_partition_id", "monotonically_increasing_id"}
+FUNCTION = re.compile(r"(?<![\w.`])`?([a-z_]\w*)`?\s*\(", re.I)
+
+
 def parsed(spark: SparkSession, statement: str):
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
 
@@ -54,16 +62,58 @@ def check_sql(spark: SparkSession, statement: str, tables: set[str]) -> list[str
     except ParseException as e:
         return [f"it doesn't parse: {str(e).strip().splitlines()[0]}"]
     faults = sorted({f"{node.getClass().getSimpleName()} isn't allowed" for node in walk(plan) if FORBIDDEN.search(node.getClass().getSimpleName())})
+    text = re.sub(r"'(?:[^'\\\\]|\\\\.|'')*'|--[^\n]*|/\*.*?\*/", " ", statement, flags=re.S)
+    faults += sorted(f"the function {f} isn't allowed" for f in {m.lower() for m in FUNCTION.findall(text)} & FORBIDDEN_FUNCTIONS)
     return faults + [f"there is no table {t!r}" for t in tables_read(spark, statement) if t not in tables]
 
 
-def query_sql(spark: SparkSession, statement: str, tables: dict[str, DataFrame], seconds: float | None = None) -> DataFrame:
-    """Runs a checked statement over ``tables`` (registered as views). With ``seconds``, its jobs are tagged so that a
-    caller can interrupt them by ``spark.interruptTag``."""
+def group_of(statement: str) -> str:
+    return f"sql-{hashlib.sha256(statement.encode()).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}"
+
+
+def bound(spark: SparkSession, statement: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The lazy result of a checked statement over ``tables``; views of those names live only while it is analysed."""
     if faults := check_sql(spark, statement, set(tables)):
         raise Refused("\n".join(faults))
+    before = {name: spark.table(name) for name in tables if spark.catalog.tableExists(name)}
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    if seconds is not None:
-        spark.addTag(f"sql-{abs(hash(statement))}")
-    return spark.sql(statement)
+    try:
+        return spark.sql(statement)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+
+
+def query_sql(spark: SparkSession, statement: str, tables: dict[str, DataFrame]) -> DataFrame:
+    return bound(spark, statement, tables)
+
+
+def read_sql(spark: SparkSession, statement: str, tables: dict[str, DataFrame], seconds: float, rows: int = 1000) -> tuple[list, int]:
+    """The first ``rows`` rows and the total, within ``seconds``: a timer cancels the statement's jobs, a group of their own, and no others."""
+    df, group, context = bound(spark, statement, tables), group_of(statement), spark.sparkContext
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, statement[:200], interruptOnCancel=True)
+    timer.start()
+    try:
+        got = df.limit(rows).collect()
+        total = len(got) if len(got) < rows else df.count()
+        if late.is_set():
+            raise TimeoutError(f"the statement took more than {seconds} s")
+        return got, total
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"the statement took more than {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(name, None)

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def upsert(stored: DataFrame | None, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows by key, new ones in place of stored ones; writing the same rows twice changes nothing."""
-    one = rows.dropDuplicates(key)
+    """Rows by key, new ones in place of stored ones; writing the same rows twice changes nothing.
+
+    Of new rows with one key, the least by all their columns in order stays, however the rows are laid out.
+    """
+    rest = [c for c in rows.columns if c not in key]
+    one = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__row")).select(*key, "__row.*").select(*rows.columns) if rest else rows.distinct()
     return one if stored is None else stored.join(one.select(*key), key, "left_anti").unionByName(one)
 
 

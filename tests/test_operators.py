@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.functions.names import compatible, near, ratio, score
+from lodeworks.functions.names import compatible_names, name_score, near_name, ratio
 from lodeworks.functions.numbers import mcnemar_p, nearest_rank, wilson
 from lodeworks.functions.text import norm_text
 from lodeworks.operators import checks
@@ -193,12 +193,43 @@ def test_evaluation(spark):
         ev.paired_join(a, a.where("question = 1"))
 
 
-def test_names():
-    assert score("Chair Stockholm", "Stockholm Chair", 92) == score("bed-side table", "Bedside Table", 92) == score("Dr Jonathan Pike", "jonathan pike", 92) == 100
-    assert score("Tables", "Table", 85) == pytest.approx(90.909, abs=0.001) and score("Tables", "Table", 92) is None
-    assert score("drawer slides", "Drawer Sides", 80) is None and score("A-1063", "A-1062", 10) is None and score("", "x", 1) is None
-    assert near("drawer", "Drawer Unit", 99) and near("legs", "Leg", 99) and not near("of", "of a", 99)
-    assert compatible("J. Pike", "Dr. Jonathan Pike") and compatible("Jon Pike", "Jonathan A. Pike") and not compatible("Jo Pike", "Joanna Pike") and not compatible("Pike", "Jonathan Pike")
+def test_names(spark):
+    def told(f, *pairs):
+        rows = spark.createDataFrame([(i, *x) for i, x in enumerate(pairs)], "i int, a string, b string")
+        return [r[0] for r in rows.select(f("a", "b"), "i").orderBy("i").collect()]
+
+    same = ("Chair Stockholm", "Stockholm Chair"), ("bed-side table", "Bedside Table"), ("Dr Jonathan Pike", "jonathan pike"), ("de luxe", "Deluxe"), ("Åsa", "asa")
+    assert told(name_score(92), *same, ("Tables", "Table"), ("", "x"), (None, "x"), ("Dr", "Dr")) == [100, 100, 100, 100, 100, None, None, None, 100]
+    assert told(name_score(85), ("Tables", "Table")) == [pytest.approx(90.909, abs=0.001)]
+    assert told(name_score(80), ("drawer slides", "Drawer Sides"), ("A-1063", "A-1062")) == [None, None]
+    assert told(near_name(99), ("drawer", "Drawer Unit"), ("legs", "Leg"), ("of", "of a"), ("", "")) == [True, True, False, False]
+    assert told(compatible_names, ("J. Pike", "Dr. Jonathan Pike"), ("Jon Pike", "Jonathan A. Pike"), ("Jo Pike", "Joanna Pike"), ("Pike", "Jonathan Pike"), ("", "x"), (None, "x")) == [True, True, False, False, False, None]
+
+
+@pytest.mark.parametrize("cutoff", [70.0, 80.0, 85.0, 92.0])
+def test_blocking_is_exact(spark, cutoff):
+    """Pairs of random edits of one another, at cutoffs on both sides of the default."""
+    rng = random.Random(int(cutoff))
+    names = ["".join(rng.choice("abcd e") for _ in range(rng.randrange(1, 18))).strip() or "a" for _ in range(40)]
+    names += [n[:k] + rng.choice("abcd") + n[k + rng.randrange(2) :] for n in names for k in (rng.randrange(len(n)),)]
+    key = lambda n: " ".join(sorted(norm_text(n).split(" ")))
+    keys = sorted({key(n) for n in names})
+    want = {(x, y) for i, x in enumerate(keys) for y in keys[i + 1 :] if ratio(x, y) >= cutoff}
+    of = {i: key(n) for i, n in enumerate(names)}
+    found = resolve.candidate_pairs(spark.createDataFrame([(i, "t", n) for i, n in enumerate(names)], "id long, type string, name string"), cutoff).collect()
+    assert {tuple(sorted((of[r["a"]], of[r["b"]]))) for r in found if of[r["a"]] != of[r["b"]]} == want
+
+
+def test_squashed_names_match(spark):
+    said = spark.createDataFrame([(1, "t", "de luxe"), (2, "t", "ab cd")], "mention long, type string, name string")
+    held = spark.createDataFrame([("r", "t", "Deluxe", "k"), ("s", "t", "abcd", "k")], "ref string, type string, name string, key string")
+    assert sorted((r["mention"], r["record"]) for r in resolve.match_records(said, held)[0].collect()) == [(1, "r"), (2, "s")]
+
+
+def test_titles_hold_names_across_words(spark):
+    titles = spark.createDataFrame([(1, "oscarwilde"), (2, "a"), (3, ""), (4, "xy")], "doc_id long, squashed_title string")
+    names = spark.createDataFrame([("b", "carwil"), ("a", "oscar"), ("c", "a"), ("d", "xy"), ("e", "")], "ref string, squashed_name string")
+    assert sorted(tuple(r) for r in resolve.by_title(titles, names).collect()) == [(1, "b"), (2, "c"), (4, "d")]
 
 
 def test_cards_and_screening():

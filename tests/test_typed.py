@@ -5,8 +5,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.functions.text import contains_words, norm, norm_text, quantity, sentences_of, shape, stem, year_in
-from lodeworks.plans.sql import check_sql, query_sql, tables_read
+from lodeworks.functions.text import contains_words, norm, norm_text, quantity, sentences, shape, stem, year_in
+from lodeworks.plans.sql import check_sql, query_sql, read_sql, tables_read
 from lodeworks.plans.typed import Path, Query, Refused, Where, along, check, run
 
 ROWS = [
@@ -109,11 +109,22 @@ def test_sql(spark, things):
     assert tables_read(spark, "SELECT * FROM a WHERE x IN (SELECT y FROM b)") == ["a", "b"]
     for bad in ("DROP TABLE things", "SELECT * FROM other", "SELECT * FROM range(5)", "SELECT 1; SELECT 2", "INSERT INTO things SELECT 1", "SELECT * FROM things WHERE id IN (SELECT x FROM other)"):
         assert check_sql(spark, bad, {"things"}), bad
+    for bad in ("SELECT reflect('java.lang.System', 'currentTimeMillis') FROM things", "SELECT `java_method` ('a', 'b')", "SELECT input_file_name() FROM things"):
+        assert check_sql(spark, bad, {"things"}), bad
+    assert not check_sql(spark, "SELECT count(*), 'reflect(' FROM things", {"things"})
+
+
+def test_sql_stops_in_time(spark, things):
+    rows, total = read_sql(spark, "SELECT id FROM things ORDER BY id", {"things": things}, 60, rows=2)
+    assert len(rows) == 2 and total == 4 and not spark.catalog.tableExists("things")
+    with pytest.raises(TimeoutError):
+        read_sql(spark, "SELECT count(*) FROM things WHERE id % 7 = 9", {"things": spark.range(10**14)}, 1.5)
 
 
 def test_text_rules(spark):
     assert norm_text("**Västerås**  Bookshelf\n") == "vasteras bookshelf"
-    assert sentences_of("Dr. J. Pike came. He left!\nNo stop") == ["Dr. J. Pike came.", "He left!", "No stop"]
+    spoken = spark.createDataFrame([("Dr. J. Pike came. He left!\nNo stop",)], "t string").select(sentences("t")).first()[0]
+    assert spoken == ["Dr. J. Pike came.", "He left!", "No stop"]
     assert (stem("installed"), stem("notes"), stem("lids"), stem("press"), stem("kv12s")) == ("install", "note", "lids", "press", "kv12s")
     row = spark.createDataFrame([("**Ä** b", "seen 20196 or 2017", "1,200 Kilograms", "Pot 12x  of A B")], "a string, b string, c string, d string")
     r = row.select(norm("a"), year_in(F.col("b")), quantity(F.col("c")), shape(F.col("d")), contains_words(F.lit("the car escaped"), F.lit("escape")), contains_words(F.lit("a (b.c) d"), F.lit("b.c"))).first()
