@@ -21,18 +21,24 @@ def wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumns({c: F.round(c, 6) for c in ("share", "low", "high")})
 
 
-OUTCOMES = "o AS (SELECT event_type, event_id % 3 = 0 AS a, event_id % 4 = 0 AS b FROM events WHERE event_id < 400)"
+OUTCOMES = "o AS (SELECT event_type, event_id % 3 = 0 AS a, event_id % 4 = 0 AS b FROM events)"
 
 
 @query("eval_mcnemar", f"WITH {OUTCOMES} SELECT event_type, count(*) FILTER (a AND b) AS \"both\", count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither FROM o GROUP BY ROLLUP (event_type)")
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id < 400").select("event_type", (F.col("event_id") % 3 == 0).alias("a"), (F.col("event_id") % 4 == 0).alias("b"))
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 3 == 0).alias("a"), (F.col("event_id") % 4 == 0).alias("b"))
     return ev.paired(rows, "event_type").drop("p")
 
 
-@query("eval_mcnemar_p")
+LOG_HALF = "-0.6931471805599453"
+
+
+@query(
+    "eval_mcnemar_p",
+    f"WITH {OUTCOMES}, c AS (SELECT event_type, count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (NOT a AND b) AS y FROM o GROUP BY ROLLUP (event_type)), t AS (SELECT event_type, x + y AS n, unnest(range(least(x, y) + 1)) AS i FROM c) SELECT event_type, round(least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * {LOG_HALF}))), 9) AS p FROM t GROUP BY event_type",
+)
 def mcnemar_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id < 400").select("event_type", (F.col("event_id") % 3 == 0).alias("a"), (F.col("event_id") % 4 == 0).alias("b"))
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 3 == 0).alias("a"), (F.col("event_id") % 4 == 0).alias("b"))
     return ev.paired(rows, "event_type").select("event_type", F.round("p", 9).alias("p"))
 
 

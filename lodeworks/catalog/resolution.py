@@ -17,9 +17,22 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("mentions"))
 
 
-@query("er_token_sort")
+#: Common subsequences by bit-parallel rows, as in any such scorer; keys here are short.
+TOKEN_SORT = """
+WITH k AS (SELECT p_partkey AS id, p_brand AS type, array_to_string(list_sort(string_split(trim(regexp_replace(regexp_replace(lower(p_name), '[*_`#>]', '', 'g'), '\\s+', ' ', 'g')), ' ')), ' ') AS key FROM part),
+g AS (SELECT type, key, min(id) AS id FROM k GROUP BY ALL),
+p AS (SELECT x.type, least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, CASE WHEN x.id < y.id THEN x.key ELSE y.key END AS ka, CASE WHEN x.id < y.id THEN y.key ELSE x.key END AS kb FROM g x JOIN g y ON x.type = y.type AND x.id < y.id),
+m AS (SELECT *, (1::HUGEINT << length(ka)) - 1 AS whole, list_transform(string_split(kb, ''), lambda c: list_sum(list_transform(range(length(ka)), lambda i: CASE WHEN ka[i + 1] = c THEN 1::HUGEINT << CAST(i AS INTEGER) ELSE 0::HUGEINT END))::HUGEINT) AS masks FROM p),
+r AS (SELECT *, list_reduce(list_concat([whole], masks), lambda row, mask: ((row + (row & mask)) | (row - (row & mask))) & whole) AS row FROM m),
+s AS (SELECT type, a, b, 200.0 * (length(ka) - bit_count(row)) / (length(ka) + length(kb)) AS score FROM r)
+SELECT type, a, b, round(score, 6) AS score FROM s WHERE score >= 80 UNION ALL SELECT k.type, g.id, k.id, 100.0 FROM k JOIN g USING (type, key) WHERE g.id <> k.id
+"""
+
+
+@query("er_token_sort", TOKEN_SORT)
 def token_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.candidate_pairs(parts(spark, sf_dir), 90.0)
+    """All pairs of part names of a brand at the default cutoff."""
+    return resolve.candidate_pairs(parts(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 SCORES = "WITH s AS (SELECT s_nationkey AS type, a.s_suppkey AS a, b AS b, sc AS score FROM (SELECT x.s_nationkey, x.s_suppkey, y.s_suppkey AS b, 1e6 - abs(x.s_acctbal - y.s_acctbal) AS sc FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey) a)"

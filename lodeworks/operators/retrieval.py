@@ -101,6 +101,13 @@ def find_passages(chunks: DataFrame, patterns: list[str]) -> DataFrame:
     return chunks.where(every).orderBy("doc_id", "idx")
 
 
+def read_documents(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text, n): the chunks (doc_id, idx, text) of the wanted documents (doc_id), in reading order, blank lines between."""
+    mine = chunks.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    parts = F.array_sort(F.collect_list(F.struct("idx", F.coalesce("text", F.lit("")).alias("text"))))
+    return mine.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"), F.count("*").alias("n"))
+
+
 def excerpt(sentences: Column, patterns: list[str], most: int = 600) -> Column:
     """Sentences that match a pattern, and headings, joined and cut."""
     keep = F.filter(sentences, lambda s: functools.reduce(lambda a, b: a | b, [F.lower(s).rlike(p) for p in patterns]) | s.startswith("#"))
@@ -137,11 +144,15 @@ def checked_order(reply: Column, known: Column) -> Column:
     return F.array_union(F.array_intersect(reply, known), known)
 
 
+def drawn(id: str, seed: int) -> Column:
+    return F.md5(F.concat(F.col(id).cast("string"), F.lit(f"|{seed}")).cast("binary"))
+
+
 def seeded_sample(df: DataFrame, id: str, n: int, seed: int = 0) -> DataFrame:
-    """The same ``n`` rows for one seed, whatever the partitions: least hashes of id and seed."""
-    return df.orderBy(F.xxhash64(F.col(id), F.lit(seed)), id).limit(n)
+    """The same ``n`` rows for one seed, whatever the partitions: least digests of id and seed."""
+    return df.orderBy(drawn(id, seed), id).limit(n)
 
 
 def stratified_sample(df: DataFrame, stratum: str, id: str, n: int, seed: int = 0) -> DataFrame:
-    w = W.partitionBy(stratum).orderBy(F.xxhash64(F.col(id), F.lit(seed)), id)
+    w = W.partitionBy(stratum).orderBy(drawn(id, seed), id)
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
