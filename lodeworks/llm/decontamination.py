@@ -8,7 +8,9 @@ the postings of the others are scored. Bounds never fall below scores, so every
 retrieved. A retrieved item counts if enough of its question (5-word shingles) and of its answer (words) stands in the
 text. The question is the item without its last line or, in an item of one line, without the last quarter of its words.
 
-Items come in blocks of bounded size; each block's index is broadcast and every text is held against each block.
+Items come in blocks of bounded size; each block's index (arrays of postings, impacts and shingle hashes, and one entry
+for each distinct word) is broadcast and every text is held against each block. Words are lower-cased in A-Z only and cut at
+ASCII white space, in texts, items and document frequencies alike.
 
 Defined results: null and empty texts and items without words match nothing; an item shorter than five words is one
 shingle; long texts and long items are compared whole (items are indexed in parts); repeated items are found each under
@@ -18,17 +20,19 @@ their own id, repeated texts each; an empty table on either side gives no match;
 from __future__ import annotations
 
 import math
+import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import ASCII_SPACE, table, window_hashes
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach.
@@ -37,7 +41,7 @@ RETRIEVE = 0.5
 QUESTION, ANSWER = 0.5, 0.5
 SHINGLE = 5
 #: Words of an indexed part, parts of a block, bytes of item text in a broadcast index.
-PART_WORDS, POSTING_BLOCK, INDEX_BYTES = 128, 8, 16 << 20
+PART_WORDS, POSTING_BLOCK, INDEX_BYTES = 128, 8, 4 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -50,6 +54,11 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(size)), strict=False))
 
 
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of the shingles, ascending."""
+    return np.unique(window_hashes(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), size))
+
+
 def halves(text: bytes) -> tuple[list[bytes], list[bytes]]:
     """Words of the question and of the answer."""
     lines = [x for x in (words_of(line) for line in text.split(b"\n")) if x]
@@ -71,7 +80,7 @@ class Index:
             if not words:
                 continue
             q, a = halves(text)
-            self.items.append((item_id, shingles(q), set(a)))
+            self.items.append((item_id, shingle_hashes(q), min(len(q), SHINGLE), frozenset(a)))
             for at in range(0, len(words), PART_WORDS):
                 part = words[at : at + PART_WORDS]
                 parts.append((len(self.items) - 1, Counter(part), len(part)))
@@ -145,16 +154,14 @@ class Index:
                 best[i] = max(best.get(i, 0.0), score)
         if not best:
             return []
-        mine, known = shingles(words), set(words)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        known, mine = set(words), {}
         out = []
         for i, score in sorted(best.items()):
-            item_id, question, answer = self.items[i]
-            short = next(iter(question)) if len(question) == 1 else ()
-            if 0 < len(short) < SHINGLE:  # a question of fewer words than a shingle
-                n = len(short)
-                q = float(any(tuple(words[j : j + n]) == short for j in range(len(words) - n + 1)))
-            else:
-                q = len(question & mine) / max(1, len(question))
+            item_id, question, size, answer = self.items[i]
+            if size not in mine:  # a question of fewer words than a shingle is one shingle of its size
+                mine[size] = np.unique(window_hashes(h, size)) if size <= len(words) else np.empty(0, np.uint64)
+            q = len(np.intersect1d(question, mine[size], assume_unique=True)) / max(1, len(question))
             a = len(answer & known) / max(1, len(answer))
             if q >= QUESTION and a >= ANSWER:
                 out.append((item_id, score * RETRIEVE, q, a))
@@ -166,7 +173,8 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
     items = benchmark.select("item_id", F.col("text").cast("binary").alias("text"))
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-size // INDEX_BYTES))
-    words = items.select(F.array_distinct(F.filter(F.split(F.lower(F.col("text").cast("string")), r"\s+"), lambda w: w != "")).alias("w"))
+    lower = F.translate(F.col("text").cast("string"), string.ascii_uppercase, string.ascii_lowercase)
+    words = items.select(F.array_distinct(F.filter(F.split(lower, ASCII_SPACE), lambda w: w != "")).alias("w"))
     total = items.select(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 1
     df = words.select(F.explode("w").alias("w")).groupBy("w").count()
     for k in range(blocks):

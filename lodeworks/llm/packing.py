@@ -123,6 +123,20 @@ def pack_documents(docs: DataFrame, n_tokens: Column, id_column: str = "doc_id",
     return out.withColumnRenamed("id", id_column)
 
 
+def packed_sequences(docs: DataFrame, packed: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """bin_id, bin_size, tokens, bounds: each sequence's words in order, and for each piece (id, piece, offset, n_tokens).
+
+    ``packed`` is what ``pack_documents`` made of the words of ``docs``, whose ids are distinct. A sequence holds at most
+    ``bin_size`` words, so a row is bounded; pieces without a bin (texts without words) give none.
+    """
+    words = docs.select(F.col(id_column).alias("__id"), F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("__w"))
+    cut = packed.where("bin_id is not null").join(words, F.col(id_column).eqNullSafe(F.col("__id")))
+    held = F.slice("__w", F.col("start").cast("int") + 1, F.col("n_tokens").cast("int"))
+    rows = cut.groupBy("bin_id", "bin_size").agg(F.array_sort(F.collect_list(F.struct("offset", F.col(id_column).alias("id"), "piece", "n_tokens", held.alias("words")))).alias("p"))
+    bounds = F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["piece"].alias("piece"), x["offset"].alias("offset"), x["n_tokens"].alias("n_tokens")))
+    return rows.select("bin_id", "bin_size", F.flatten(F.transform("p", lambda x: x["words"])).alias("tokens"), bounds.alias("bounds"))
+
+
 def word_count(text: Column) -> Column:
     """Tokens of a text: its words between ASCII white space."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))

@@ -19,7 +19,8 @@ from lodeworks.llm.common import Forest, WordIds, bucket_groups, components, kep
 from lodeworks.llm.decontamination import QUESTION, halves, op4_decontamination, shingles, with_leaks, words_of
 from lodeworks.llm.line_dedup import AGREE, close, dedup_lines, edit_distance, edit_distances, gram_marks, may_be_similar, most_edits, op2_line_dedup, places_of, removed_lines, similar
 from lodeworks.llm.lm_score import lm_scores, op9_lm_score
-from lodeworks.llm.packing import SIZES, best_fit, op10_packing, pack, pack_documents, word_count
+from lodeworks.llm.packing import SIZES, best_fit, op10_packing, pack, pack_documents, packed_sequences, word_count
+from lodeworks.llm.quality_rules import cascade_order, first_failed
 from lodeworks.llm.warc import chunked, op5_warc_segments, parse, read_archives, unchunked, write_archives
 
 
@@ -350,6 +351,13 @@ def test_leaks_odd_rows(spark, docs):
     assert with_leaks(made, bench.limit(0)).where("size(leaks) > 0").count() == 0 and with_leaks(made.limit(0), bench).count() == 0
 
 
+def test_leaks_outside_ascii(spark, docs):
+    """Capitals outside A-Z are words of their own everywhere: the same idf in the index as in the texts."""
+    words = [f"Ä{i}é" for i in range(30)]
+    found = with_leaks(docs([(1, "x " + " ".join(words) + " y"), (2, " ".join(words).lower())]), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string"))
+    assert {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in found.collect()} == {1: [7], 2: []}
+
+
 def test_leaks_in_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr("lodeworks.llm.decontamination.INDEX_BYTES", 100)
     items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(12)]
@@ -450,6 +458,33 @@ def test_packing_odd_rows(spark, docs):
     assert len(twice) == 2 and pack_documents(made.limit(0), word_count(F.col("text"))).count() == 0
 
 
+def test_packed_sequences_round_trip(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    packed = kept(pack_documents(docs, word_count(F.col("text"))), "packed")
+    pieces = defaultdict(dict)
+    for r in packed_sequences(docs, packed).collect():
+        assert len(r["tokens"]) <= r["bin_size"]
+        for b in r["bounds"]:
+            pieces[b["id"]][b["piece"]] = r["tokens"][b["offset"] : b["offset"] + b["n_tokens"]]
+    for i, t in texts_of(spark, sf_dir):
+        assert [w for k in sorted(pieces[i]) for w in pieces[i][k]] == __import__("re").findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+# quality rules
+
+
+def test_cascade_order_and_short_circuit(spark):
+    """The share of a later rule is counted on what earlier ones leave, and a dear rule never sees a rejected row."""
+    rows = spark.range(400).select("id", (F.col("id") % 10).alias("x"))
+    order = cascade_order(rows, {"never": F.col("x") < 0, "most": F.col("x") < 8, "same": F.col("x") < 8}, columns=("x",))
+    names = [k for k, _, _ in order]
+    assert sorted(names) == ["most", "never", "same"] and names[0] != "never"
+    assert [round(share, 2) for _, _, share in order if share] == [0.8]
+    rules = {"cheap": F.col("x") < 5, "dear": F.when(F.col("x") < 5, F.raise_error(F.lit("seen")).cast("boolean")).otherwise(F.col("x") == 7)}
+    got = Counter(r[0] for r in rows.select(first_failed(rules, ["cheap", "dear"])).collect())
+    assert got == {"cheap": 200, "dear": 40, None: 160}
+
+
 # WARC
 
 
