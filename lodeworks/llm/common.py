@@ -290,9 +290,10 @@ def first_units(members: DataFrame) -> DataFrame:
     A group of bounded bytes is one unit, all of role 0. A larger one is cut into parts, each a unit with the group's
     least node as the only row of role 0: a group of copies of one text is settled in time proportional to it.
     """
-    m = members.join(weighed(members), "comp")
+    # few groups are cut: one a megabyte of text at most, so the rows of the others needn't move
+    m = members.join(weighed(members).where("parts > 1"), "comp", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
-    is_lead = F.col("node") == F.col("lead")
+    is_lead = F.coalesce(F.col("node") == F.col("lead"), F.lit(False))
     part = F.explode(F.when((F.col("parts") > 1) & is_lead, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own)))
     m = m.withColumn("part", part).withColumn("unit", F.xxhash64("comp", "part"))
     return m.withColumn("role", ((F.col("parts") > 1) & ~is_lead).cast("int")).drop("parts", "lead", "part")
