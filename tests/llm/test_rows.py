@@ -11,7 +11,7 @@ import pytest
 from lodeworks.llm import queries
 from lodeworks.llm.chat_prefix import expand, read_digests, turns_of
 from lodeworks.llm.license_scan import BASE, RareIndex, op1_license_scan, scan_licenses, templates, words_of
-from lodeworks.llm.quality_classifier import FEATURES, Ranker, fit, op6_quality_classifier, score_quality
+from lodeworks.llm.quality_classifier import FEATURES, Ranker, fit, number, op6_quality_classifier, order_statistics, ordered, score_quality
 from lodeworks.llm.quality_rules import Rules, cascade_order, n_repeat_words, quality_cascade
 from tests.oracle import same
 
@@ -118,6 +118,43 @@ def test_bradley_terry_ranks():
     assert isinstance(fit(x, np.ones(400)), Ranker)
 
 
+def test_all_pairs_count():
+    rng = np.random.default_rng(3)
+    label = rng.integers(0, 2, 300)
+    x = rng.normal(size=(300, len(FEATURES)))
+    x[:, 2] += label
+    model = fit(x, label)
+    z = np.clip((x - model.mean) / model.spread, -8, 8)
+    d = (z[label == 1][:, None] - z[label == 0][None, :]).reshape(-1, len(FEATURES))
+    slope = (d / (1 + np.exp(d @ model.weights))[:, None]).mean(axis=0) - 1e-3 * model.weights
+    assert np.abs(slope).max() < 1e-3
+
+
+def test_every_label_is_learned_from(spark, docs):
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefgABC012!;#é "))
+    texts = ["".join(rng.choice(letters, 60 + k % 97)) for k in range(14_000)]
+    label = [int(rng.random() < (0.8 if len(t) > 100 else 0.4)) for t in texts]
+    labels = spark.createDataFrame(list(enumerate(label)), "doc_id long, quality int")
+    rows = score_quality(docs(list(enumerate(texts))), labels).collect()
+    trained = [r for r in rows if not r["held_out"]]
+    assert len(trained) > 11_000
+    # the threshold is the quantile of all training texts, so as many of them lie below it as have label 0
+    bad = sum(1 - label[r["doc_id"]] for r in trained)
+    assert len({r["score"] for r in trained}) > 0.99 * len(trained)
+    assert abs(sum(1 - r["predicted"] for r in trained) - bad) <= 3
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=500), 1)
+    assert [number(int(k)) for k in ordered(x)] == (x + 0.0).tolist()
+    keys = spark.createDataFrame([(int(k),) for k in ordered(x)], "key long")
+    s = np.sort(x)
+    for rank in (1, 2, 250, 400, 499):
+        assert [number(k) for k in order_statistics(keys, rank)] == [s[rank - 1], s[rank]]
+
+
 def test_chat_round_trip(spark):
     marks = ["</s>", "[INST]", "[/INST]", "\\", "\\b", "\\e", "</s", "[INST\\]", "", "\n", "é\U0001f600", None]
     turns = [(c, k, "assistant" if k % 2 else "user", a and a + (b or "")) for c, a in enumerate(marks) for k, b in enumerate(marks)]
