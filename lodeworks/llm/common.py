@@ -187,6 +187,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
+#: Bits of a filter of wanted nodes, at least and at most, and for each node.
+FILTER_BITS, NODE_BITS = (1 << 16, 1 << 26), 16
+
+
+def wanted_filter(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``nodes``, 8 MB at most however many they are; beyond that it lets more through, and loses none."""
+    most = FILTER_BITS[1]
+    n = nodes.count()
+    size = max(FILTER_BITS[0], min(most, 1 << (NODE_BITS * max(n, 1)).bit_length()))
+    bit = F.explode(F.array(*[F.shiftrightunsigned("node", k).bitwiseAND(F.lit(size - 1)) for k in (0, 32)]))
+    words = nodes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("bits"))
+    t = words.toArrow()
+    out = np.zeros(size // 32, np.uint32)
+    out[t.column("at").to_numpy()] = t.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def in_filter(bits: np.ndarray, node: np.ndarray) -> np.ndarray:
+    out = np.ones(len(node), bool)
+    for k in (0, 32):
+        at = (node.view(np.uint64) >> np.uint64(k)) & np.uint64(32 * len(bits) - 1)
+        out &= (bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+    return out
+
+
 #: Rows of a bucket beyond which its members aren't compared by sketch but all hang on one of them.
 HOT_BUCKET = 200_000
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Forest, bucket_groups, by_runs, compared, components, kept, mix64, runs, signed, table
+from .common import Forest, bucket_groups, by_runs, compared, components, in_filter, kept, mix64, runs, signed, table, wanted_filter
 
 SIMILARITY = 0.8
 #: Bytes from which a line of one word counts.
@@ -417,31 +417,6 @@ def line_links(rows: DataFrame) -> DataFrame:
     return by_runs(rows.select("unit", "node", "role", "sketch", "text"), "unit", verify, "a long, b long", "node", "role")
 
 
-#: Bits of the filter of wanted lines, at least and at most, and for each line.
-FILTER_BITS, LINE_BITS = (1 << 16, 1 << 26), 16
-
-
-def wanted_filter(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``nodes``, 8 MB at most however many they are; beyond that it lets more lines through, and loses none."""
-    most = FILTER_BITS[1]
-    n = nodes.count()
-    size = max(FILTER_BITS[0], min(most, 1 << (LINE_BITS * max(n, 1)).bit_length()))
-    bit = F.explode(F.array(*[F.shiftrightunsigned("node", k).bitwiseAND(F.lit(size - 1)) for k in (0, 32)]))
-    words = nodes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("bits"))
-    t = words.toArrow()
-    out = np.zeros(size // 32, np.uint32)
-    out[t.column("at").to_numpy()] = t.column("bits").to_numpy().astype(np.uint32)
-    return out
-
-
-def in_filter(bits: np.ndarray, node: np.ndarray) -> np.ndarray:
-    out = np.ones(len(node), bool)
-    for k in (0, 32):
-        at = (node.view(np.uint64) >> np.uint64(k)) & np.uint64(32 * len(bits) - 1)
-        out &= (bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
-    return out
-
-
 def lines_of(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """(node, text): the normalised lines of ``nodes`` (node).
 

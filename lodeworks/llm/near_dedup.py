@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, WordIds, bucket_groups, by_runs, compared, components, kept, mix64, runs, signed, table, window_hashes
+from .common import Forest, WordIds, bucket_groups, by_runs, compared, components, in_filter, kept, mix64, runs, signed, table, wanted_filter, window_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -221,12 +221,22 @@ def jaccard_links(sets: list[tuple[np.ndarray, np.ndarray]], rest: np.ndarray, s
         m = np.zeros((n, width), np.float32)
         m[owner[lo:hi], column[lo:hi] - at] = 1
         overlap += m @ m.T
-    union = size[:, None] + size[None, :] - overlap
-    like = overlap >= similarity * union - 1e-6
-    like &= ~(rest[:, None] & rest[None, :])
-    a, b = np.nonzero(np.triu(like, 1))
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        forest.join(x, y)
+    like = np.empty((n, n), bool)
+    for at in range(0, n, 256):
+        some = slice(at, at + 256)
+        union = size[some, None] + size[None, :] - overlap[some]
+        like[some] = (overlap[some] >= similarity * union - 1e-6) & ~(rest[some, None] & rest[None, :])
+    left = np.ones(n, bool)  # a walk over the links, as a list of them may be quadratic
+    for k in range(n):
+        todo = [k] if left[k] else []
+        left[k] = False
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(like[i] & left)
+            left[found] = False
+            for j in found.tolist():
+                forest.join(i, j)
+                todo.append(j)
     return forest
 
 
@@ -249,6 +259,23 @@ def verified_links(rows: DataFrame, similarity: float, weights: str) -> DataFram
     return by_runs(rows.select("unit", "node", "role", "text"), "unit", verify, "a long, b long", "node", "role")
 
 
+def texts_of(docs: DataFrame, picked: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(node, text): the whole texts of the nodes of ``picked`` (node, pick_id, pick_raw), by id and raw hash of their first rows.
+
+    A filter of the wanted rows keeps most other texts out of the shuffle; the join settles which are wanted.
+    """
+    wanted = kept(picked.select(F.xxhash64("pick_id", "pick_raw").alias("key"), "node").distinct(), "wanted")
+    sent = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted.select(F.col("key").alias("node"))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_filter(sent.value, b.column(0).to_numpy())))
+
+    rows = docs.select(F.xxhash64(F.col(id_column), raw_hash(F.col(text))).alias("key"), F.col(text).cast("binary").alias("text"))
+    rows = rows.mapInArrow(pick, "key long, text binary").groupBy("key").agg(F.first("text").alias("text"))
+    return rows.join(wanted.hint("merge"), "key").select("node", "text")
+
+
 def near_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "counts") -> DataFrame:
     """(id, raw, class_id, lead) per row of ``docs``: raw is ``raw_hash`` of the text, lead marks the rows equal to the one that stands for the class."""
     known = kept(signed_documents(docs, id_column, text, bands, rows, weights), "signed")
@@ -258,16 +285,15 @@ def near_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", si
     copies = kept(copies, "copies")
     banded = copies.select(F.explode("first.bands").alias("key"), "node", F.col("first.sketch").alias("sketch"))
     candidates = bucket_groups(banded, close)
-    # the whole texts of the candidates, by id and raw hash of their first rows
     picked = copies.join(candidates.hint("merge"), "node").select("comp", "node", F.col("first.bytes").alias("bytes"), F.col("first.id").alias("pick_id"), F.col("first.raw").alias("pick_raw"))
-    texts = docs.select(F.col(id_column).alias("id"), raw_hash(F.col(text)).alias("raw"), F.col(text).cast("binary").alias("text"))
+    picked = kept(picked, "picked")
+    texts = kept(texts_of(docs, picked, id_column, text), "texts")
 
     def links_in(units: DataFrame) -> DataFrame:
         # merged at every size: which side is small must not decide what a larger corpus costs
-        members = texts.join(units.hint("merge"), F.col("id").eqNullSafe(F.col("pick_id")) & (F.col("raw") == F.col("pick_raw")))
-        return verified_links(members.select("unit", "role", "node", "text"), similarity, weights)
+        return verified_links(texts.join(units.select("unit", "role", "node").hint("merge"), "node"), similarity, weights)
 
-    links = compared(kept(picked, "picked"), links_in)
+    links = compared(picked.select("comp", "node", "bytes"), links_in)
     classes = copies.join(components(links), "node", "left").select("h1", "h2", F.struct("first.no_id", "first.id", "first.raw").alias("first"), F.coalesce("comp", "node").alias("comp"))
     classes = kept(classes, "classes")
     named = classes.join(classes.groupBy("comp").agg(F.min("first").alias("of")), "comp").select("h1", "h2", "of")

@@ -6,6 +6,8 @@ import base64
 import hashlib
 import math
 import random
+import tracemalloc
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -274,6 +276,25 @@ def test_near_groups_are_cut_exactly(spark, docs, monkeypatch, edits):
     assert got == brute_classes(pairs)
 
 
+def test_near_texts_are_fetched_once(spark, docs, monkeypatch, tmp_path):
+    """Texts are read to sign them and once more for all units of the candidates, also where a group needs further units."""
+    monkeypatch.setattr("lodeworks.llm.common.UNIT_BYTES", 4000)
+    rng, folder = random.Random(1), str(tmp_path)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    pairs = [(k, " ".join(f"x{k}" if i in rng.sample(range(120), 6) else w for i, w in enumerate(base))) for k in range(60)]
+
+    def seen(batches):
+        for b in batches:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(b.num_rows))
+            yield b
+
+    made = docs(pairs)
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(made.mapInArrow(seen, made.schema)).collect()}
+    assert got == brute_classes(pairs)
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 2 * len(pairs)
+
+
 def test_near_odd_rows(spark, docs):
     t = " ".join(f"w{i}" for i in range(50))
     made = docs([(5, t), (5, t), (4, t.upper()), (None, t), (1, None), (2, ""), (3, " \n"), (7, "a b"), (8, "a b"), (None, "only here")])
@@ -293,6 +314,18 @@ def test_weighted_links():
     assert len(window_hashes(np.arange(3, dtype=np.uint64), 5)) == 1
 
 
+def test_links_of_many_copies_take_little_memory():
+    words = [f"w{i}" for i in range(60)]
+    ids, n = WordIds(), 1200
+    sets = [nd.shingle_set(words + [f"x{k}"], ids, "counts") for k in range(n)]
+    rest = np.arange(n) > 600
+    tracemalloc.start()
+    f = nd.jaccard_links(sets, rest, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {f.find(k) for k in range(n)} == {0} and peak < 50 << 20
+
+
 # decontamination
 
 
