@@ -205,6 +205,8 @@ def bucket_rows(lines: DataFrame) -> DataFrame:
 
 
 def common_start(a: str, b: str) -> int:
+    if a[:1] != b[:1]:
+        return 0
     lo, hi = 0, min(len(a), len(b))
     while lo < hi:
         mid = (lo + hi + 1) // 2
@@ -215,6 +217,10 @@ def common_start(a: str, b: str) -> int:
     return lo
 
 
+#: Columns between two looks at the distance.
+COLUMNS = 32
+
+
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
     """Levenshtein distance by bit-parallel columns, one big integer a column; any number above ``most`` if it is greater."""
     if len(a) < len(b):
@@ -224,21 +230,20 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     at: dict[str, int] = {}
     for i, c in enumerate(b):
         at[c] = at.get(c, 0) | 1 << i
-    whole, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
-    plus, minus, distance = whole, 0, len(b)
-    limit = 2 * (len(a) + len(b)) if most is None else most + len(a)
-    for c in a:
-        match = at.get(c, 0)
-        down = match | minus
-        across = (((match & plus) + plus) ^ plus) | match
-        more, less = minus | ~(across | plus) & whole, plus & across
-        distance += bool(more & top) - bool(less & top)
-        limit -= 1  # a column lowers the distance by one at most
-        if distance > limit:
+    whole = (1 << len(b)) - 1
+    plus, minus = whole, 0
+    for start in range(0, len(a), COLUMNS):
+        for c in a[start : start + COLUMNS]:
+            match = at.get(c, 0)
+            down = match | minus
+            across = (((match & plus) + plus) ^ plus) | match
+            less = plus & across
+            more = (minus | (across | plus) ^ whole) << 1 | 1  # what stands above the top bit is dropped below
+            plus, minus = (less << 1 | (down | more) ^ whole) & whole, more & down
+        done = min(start + COLUMNS, len(a))
+        distance = done + plus.bit_count() - minus.bit_count()
+        if most is not None and distance - (len(a) - done) > most:  # a column lowers the distance by one at most
             return distance
-        more = (more << 1 | 1) & whole
-        less = less << 1 & whole
-        plus, minus = less | ~(down | more) & whole, more & down
     return distance
 
 
@@ -250,7 +255,7 @@ def trimmed(a: str, b: str) -> tuple[str, str]:
     """Both without their common start and end."""
     k = common_start(a, b)
     a, b = a[k:], b[k:]
-    k = common_start(a[::-1], b[::-1])
+    k = common_start(a[::-1], b[::-1]) if a[-1:] == b[-1:] else 0
     return (a[:-k], b[:-k]) if k else (a, b)
 
 
@@ -306,11 +311,9 @@ def edit_distances(a: str, others: list[str], places: list[dict[str, bytes]]) ->
         match = at[c]
         down = match | minus
         across = (((match & plus) + plus) ^ plus) | match
-        more = minus | whole & ~(across | plus)
         less = plus & across
-        more = (more << 1 | lowest) & whole
-        less = less << 1 & whole
-        plus, minus = less | whole & ~(down | more), more & down
+        more = (minus | (across | plus) ^ whole) << 1 | lowest  # a bit over the top of a field falls on a lowest bit or is dropped
+        plus, minus = (less << 1 | (down | more) ^ whole) & whole, more & down
     ups, downs = (x.to_bytes(sum(widths), "little") for x in (plus, minus))
     out, start = [], 0
     for w in widths:
@@ -354,15 +357,31 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, longer: int) -> bool:
     return int(((b[at] >= low) & (b[at] <= a + np.uint64(most))).sum()) >= least
 
 
+#: Links that a task holds before it sends them.
+HELD_LINKS = 5_000
+
+
 def line_links(rows: DataFrame) -> DataFrame:
     """(a, b): a forest of the verified links of each unit; ``rows`` are (unit, role, node, sketch, text)."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
+
+        def out() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a.clear()
+            b.clear()
+            return found
+
         for t in runs(batches, "unit"):
+            if len(a) >= HELD_LINKS:
+                yield out()
             if t.num_rows == 2 and t.column("role")[0].as_py() == 0:  # most units: one pair
                 (x, y), (p, q) = t.column("node").to_pylist(), t.column("text").to_pylist()
                 if x != y and similar(p, q):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()), pa.array([y], pa.int64())], ["a", "b"])
+                    a.append(x)
+                    b.append(y)
                 continue
             nodes, at = np.unique(t.column("node").to_numpy(), return_index=True)
             if len(nodes) < 2:
@@ -372,7 +391,8 @@ def line_links(rows: DataFrame) -> DataFrame:
             size = np.array([len(x) for x in texts])
             sketch = t.column("sketch").to_numpy()[at].view(np.uint64)
             marks: list[np.ndarray | None] = [None] * len(nodes)
-            forest, a, b = Forest(len(nodes)), [], []
+            forest = Forest(len(nodes))
+            known: dict[int, np.ndarray] = {}
 
             def partners(i: int) -> np.ndarray:
                 fits = abs(size - size[i]) <= (1 - SIMILARITY) * np.maximum(size, size[i]) + 1e-9
@@ -380,15 +400,25 @@ def line_links(rows: DataFrame) -> DataFrame:
                 fits[i] = False
                 return np.flatnonzero(fits if not rest[i] else fits & ~rest)
 
+            def known_partners(i: int) -> np.ndarray:
+                found = known.pop(i, None)
+                return partners(i) if found is None else found
+
+            def like(i: int) -> int:
+                found = partners(i)
+                if len(nodes) <= 1000:  # larger units would hold too many
+                    known[i] = found
+                return len(found)
+
             probes = np.flatnonzero(~rest)
             if len(nodes) > 3:  # those like most others first, so that fewer others are compared among each other
-                probes = probes[np.argsort([-len(partners(i)) for i in probes], kind="stable")]
+                probes = probes[np.argsort([-like(i) for i in probes.tolist()], kind="stable")]
             places: list[dict[str, bytes] | None] = [None] * len(nodes)
             met = np.zeros(len(nodes), bool)
             for i in probes.tolist():
                 met[i] = True
                 todo = []
-                for j in partners(i).tolist():
+                for j in known_partners(i).tolist():
                     if (met[j] and not rest[j]) or forest.find(i) == forest.find(j):
                         continue
                     for k in (i, j):
@@ -409,10 +439,10 @@ def line_links(rows: DataFrame) -> DataFrame:
                     todo = [j for j in todo if similar(texts[i], texts[j])]
                 for j in todo:
                     if forest.join(i, j):
-                        a.append(nodes[i])
-                        b.append(nodes[j])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(a)), pa.array(np.array(b))], ["a", "b"])
+                        a.append(int(nodes[i]))
+                        b.append(int(nodes[j]))
+        if a:
+            yield out()
 
     return by_runs(rows.select("unit", "node", "role", "sketch", "text"), "unit", verify, "a long, b long", "node", "role")
 

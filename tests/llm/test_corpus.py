@@ -12,10 +12,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodeworks.llm import line_dedup as ld
 from lodeworks.llm import near_dedup as nd
 from lodeworks.llm.common import Forest, WordIds, bucket_groups, components, kept, sketch_forest, window_hashes
 from lodeworks.llm.decontamination import QUESTION, halves, op4_decontamination, shingles, with_leaks, words_of
@@ -69,6 +71,28 @@ def test_edit_distance():
         assert edit_distances(a, others, list(map(places_of, others))) == [levenshtein(a, b) for b in others]
 
 
+def test_distances_side_by_side():
+    rng = random.Random(5)
+    for _ in range(60):
+        texts = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 70))) for _ in range(6)]
+        far = [levenshtein(texts[0], t) for t in texts[1:]]
+        assert edit_distances(texts[0], texts[1:], [places_of(t) for t in texts[1:]]) == far
+        for t, d in zip(texts[1:], far, strict=True):
+            most = rng.randrange(40)
+            assert edit_distance(texts[0], t) == d and (edit_distance(texts[0], t, most) <= most) == (d <= most)
+
+
+def test_links_leave_in_few_batches(monkeypatch):
+    held = []
+    monkeypatch.setattr(ld, "by_runs", lambda df, key, f, *rest: held.append(f))
+    ld.line_links(type("Rows", (), {"select": lambda self, *names: self})())
+    n = 50
+    texts = [f"line number {k} of the units here{x}" for k in range(n) for x in ("", "!")]
+    cols = [pa.array(np.repeat(np.arange(n), 2)), pa.array(np.arange(2 * n)), pa.array(np.zeros(2 * n, np.int32)), pa.array(np.zeros(2 * n, np.int64)), pa.array(texts)]
+    got = list(held[0](iter([pa.RecordBatch.from_arrays(cols, ["unit", "node", "role", "sketch", "text"])])))
+    assert len(got) == 1 and got[0].to_pydict() == {"a": list(range(0, 2 * n, 2)), "b": list(range(1, 2 * n, 2))}
+
+
 def test_gram_marks():
     """Pairs that the count of shared grams rules out are never similar."""
     rng = random.Random(12)
