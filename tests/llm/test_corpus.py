@@ -457,6 +457,54 @@ def test_lm_weights_sum_in_a_tree(spark, docs, monkeypatch):
     assert all(math.isclose(whole[i], tree[i], rel_tol=1e-3) for i in whole) and len(whole) == 60
 
 
+def test_lm_every_context_has_a_row(spark, docs, monkeypatch):
+    """Contexts are told apart however few rows the table of hashed features has."""
+    monkeypatch.setattr("lodeworks.llm.lm_score.FEATURE_ROWS", 1)
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    learnt = [i for i in range(4000) if i not in set(held)]
+    made = [(i, " ".join(f"{x}{i % 700}" for x in "abcdefgh")) for i in learnt] + [(held[0], " ".join(f"{x}9" for x in "abcdefgh")), (held[1], " ".join(f"{x}9" for x in "hgfedcba"))]
+    score = {r["doc_id"]: r["score"] for r in lm_scores(docs(made)).collect()}
+    assert score[held[0]] > score[held[1]] + 2
+
+
+def test_lm_contexts_against_brute_force(spark, docs, monkeypatch):
+    """Counts of contexts, over several parts and chunks, on top of a softmax that only knows its bias."""
+    from lodeworks.llm import lm_score as lm
+
+    monkeypatch.setattr(lm, "train_round", lambda docs, weights, bias: (weights, bias))
+    monkeypatch.setattr(lm, "PART_TOKENS", 500)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 700)
+    rng = random.Random(3)
+    made = [(i, " ".join(rng.choice("abcdefghij") + rng.choice("xy") for _ in range(rng.randrange(40)))) for i in range(150)] + [(150, None), (151, "jy new ax"), (151, "jy new ax")]
+    kind = lambda w: int(lm.class_of(np.array([lm.xxhash.xxh3_64_intdigest(b"" if w == "\0end" else w.encode())], np.uint64))[0])
+    learnt = [lm_tokens(t) for i, t in made if zlib.crc32(str(i).encode()) % 5 != 1]
+    words = Counter(w for t in learnt for w in t)
+    n_class, v_class, n = Counter(), Counter(kind(w) for w in words), sum(words.values())
+    for w, c in words.items():
+        n_class[kind(w)] += c
+
+    def contexts(t, i):
+        one, two = (t[i - k] if i >= k else k - i for k in (1, 2))
+        return ("skip", two), ("one", one), ("two", one, two)
+
+    seen = Counter(x for t in learnt for i, w in enumerate(t) for c in contexts(t, i) for x in (c, (c, kind(w))))
+
+    def score(t):
+        total = 0
+        for i, w in enumerate(t):
+            k = kind(w)
+            p = (n_class[k] + 0.5) / (n + 0.5 * lm.CLASSES)
+            for c, m in zip(contexts(t, i), lm.LOWER, strict=True):
+                p = (seen[c, k] + m * p) / (seen[c] + m)
+            total += math.log10(p) + math.log10((words[w] + 0.5) / (n_class[k] + 0.5 * (v_class[k] + 1)))
+        return total
+
+    rows = lm_scores(docs(made).repartition(3)).collect()
+    assert len(rows) == len(made)
+    texts = dict(made)
+    assert all(math.isclose(r["score"], score(lm_tokens(texts[r["doc_id"]])), rel_tol=1e-5) for r in rows)
+
+
 def test_lm_odd_rows(spark, docs):
     made = docs([(1, None), (1, None), (2, ""), (None, "a b"), (3, "A b " * 30_000), (4, "unseen")]).withColumnRenamed("lang", "score").withColumnRenamed("source", "key")
     rows = lm_scores(made).collect()
