@@ -21,6 +21,7 @@ an empty table gives an empty table; other columns pass through.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,15 +57,16 @@ LOOSE = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 
 def lines_of_text(text: bytes) -> list[bytes]:
     """Normalised lines: lower-cased, one space between words, none around them. White space is ASCII's."""
-    low = text.decode("utf-8", "replace").lower().encode()
+    low = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
     lines = low.split(b"\n")
     if low[:1] == b" " or low[-1:] == b" " or any(x in low for x in LOOSE):
         return [b" ".join(x.split()) for x in lines]
     return lines
 
 
-def counts(line: bytes) -> bool:
-    return b" " in line or len(line) >= MIN_BYTES
+def counted(lines: list[bytes]) -> list[int]:
+    """The numbers of the lines that count."""
+    return [k for k, x in enumerate(lines) if b" " in x or len(x) >= MIN_BYTES]
 
 
 def row_keys(docs: DataFrame, id_column: str, text: str) -> list[Column]:
@@ -78,14 +80,28 @@ SEEDS[1] |= np.uint64(1)
 PLACE = np.uint64(0xFFFF)
 
 
+#: Bytes of lines whose grams are hashed at once, few enough that they stay in a processor's cache.
+CACHED_BYTES = 1 << 15
+
+
 def min_hashes(lines: list[bytes], gram: int, every: int) -> np.ndarray:
     """MinHash values of each line over its grams, places in the low bits; grams at the end of a line reach over it."""
-    gap = b"\n" * gram
-    raw = np.frombuffer(gap.join(lines) + gap, np.uint8).astype(np.uint64) + np.uint64(1)
     size = np.array([len(x) for x in lines])
-    h = np.zeros(len(raw) - gram, np.uint64)
-    for k in range(gram):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + raw[k : k + len(h)]
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // CACHED_BYTES)) + 1
+    if len(cuts):
+        edges = [0, *cuts.tolist(), len(lines)]
+        return np.concatenate([gram_minima(lines[i:j], size[i:j], gram, every) for i, j in zip(edges, edges[1:], strict=False)])
+    return gram_minima(lines, size, gram, every)
+
+
+def gram_minima(lines: list[bytes], size: np.ndarray, gram: int, every: int) -> np.ndarray:
+    gap = b"\n" * gram
+    raw = np.frombuffer(gap.join(lines) + gap, np.uint8).astype(np.uint64)
+    raw += np.uint64(1)
+    h = raw[: len(raw) - gram].copy()
+    for k in range(1, gram):
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h += raw[k : k + len(h)]
     starts = np.cumsum(size) - size
     line = np.repeat(np.arange(len(lines)), size)
     h = mix64(h[np.arange(size.sum()) + gram * line])
@@ -97,10 +113,14 @@ def min_hashes(lines: list[bytes], gram: int, every: int) -> np.ndarray:
         starts = np.searchsorted(line, np.arange(len(lines)))
     place = place.astype(np.uint64) & PLACE
     out = np.empty((len(lines), 2 * BLOCKS), np.uint64)
+    x = np.empty_like(h)
     for k in range(2 * BLOCKS):
-        x = (h ^ SEEDS[0, k]) * SEEDS[1, k]
-        x ^= x >> np.uint64(32)  # the order is by high bits, which low ones don't reach otherwise
-        out[:, k] = np.minimum.reduceat(x & ~PLACE | place, starts)
+        np.bitwise_xor(h, SEEDS[0, k], out=x)
+        x *= SEEDS[1, k]
+        x &= ~PLACE
+        x |= place
+        out[:, k] = np.minimum.reduceat(x, starts)
+    out ^= out >> np.uint64(32) & ~PLACE
     return out
 
 
@@ -182,12 +202,12 @@ def line_rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                 t = t.as_py()
                 if not t:
                     continue
-                for k, x in enumerate(lines_of_text(t)):
-                    if counts(x):
-                        row.append(i)
-                        line.append(k)
-                        held.append(x)
-                        size += len(x)
+                found = lines_of_text(t)
+                mine = counted(found)
+                row += [i] * len(mine)
+                line += mine
+                held += [found[k] for k in mine]
+                size += len(t) if mine else 0
                 if size >= HELD_BYTES:
                     yield out(ids[row], raws[row], line, held)
                     row, line, held, size = [], [], [], 0
@@ -327,38 +347,62 @@ GRAM = 3
 PLACE_BITS = 22
 
 
-def gram_marks(text: str) -> np.ndarray:
-    """A hash and the place of each gram of characters, ascending."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def marks_of_all(texts: list[str]) -> list[np.ndarray]:
+    """A hash and the place of each gram of characters, ascending, for each text."""
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = np.zeros(max(0, len(c) - GRAM + 1), np.uint64)
     for k in range(GRAM if len(h) else 0):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + c[k : k + len(h)]
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h += c[k : k + len(h)]
     h = mix64(h) >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)
-    return np.sort(h + np.arange(len(h), dtype=np.uint64))
+    place, out, start = np.arange(max(map(len, texts), default=0), dtype=np.uint64), [], 0
+    for x in texts:
+        n = max(0, len(x) - GRAM + 1)
+        marks = h[start : start + n] + place[:n]
+        marks.sort()
+        out.append(marks)
+        start += len(x)
+    return out
 
 
-def may_be_similar(a: np.ndarray, b: np.ndarray, longer: int) -> bool:
-    """False only where texts of these marks can't be similar.
+def gram_marks(text: str) -> np.ndarray:
+    return marks_of_all([text])[0]
+
 
-    An edit takes ``GRAM`` grams from the longer text at most; the others stand in the other text, no further off than
-    there are edits.
+def any_may_be_similar(one: np.ndarray, others: list[np.ndarray], longer: np.ndarray) -> np.ndarray:
+    """False only where the text of marks ``one`` and another can't be similar; ``longer`` are the lengths of the longer of both.
+
+    An edit takes ``GRAM`` grams from the longer text at most; the others stand in both texts, no further apart than there
+    are edits.
     """
-    most = int((1 - SIMILARITY) * longer + 1e-9)
+    most = ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
     least = longer - GRAM + 1 - GRAM * most
-    if least <= 0 or longer >= 1 << PLACE_BITS:
-        return True
-    if len(a) < len(b):
-        a, b = b, a
-    if not len(b):
-        return False
-    place = a & np.uint64((1 << PLACE_BITS) - 1)
-    low = a - np.minimum(place, np.uint64(most))
-    at = np.minimum(np.searchsorted(b, low), len(b) - 1)
-    return int(((b[at] >= low) & (b[at] <= a + np.uint64(most))).sum()) >= least
+    many = np.array([len(x) for x in others])
+    out = (least <= 0) | (longer >= 1 << PLACE_BITS)
+    if not len(one):
+        return out
+    held = np.flatnonzero(~out & (many > 0))
+    if len(held):
+        a = np.concatenate([others[k] for k in held.tolist()]) if len(held) > 1 else others[held[0]]
+        many = many[held]
+        far = np.repeat(most[held].astype(np.uint64), many)
+        low = a - np.minimum(a & np.uint64((1 << PLACE_BITS) - 1), far)
+        at = np.minimum(np.searchsorted(one, low), len(one) - 1)
+        found = one[at]
+        out[held] = np.add.reduceat((found >= low) & (found <= a + far), np.cumsum(many) - many, dtype=np.int64) >= least[held]
+    return out
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, longer: int) -> bool:
+    return bool(any_may_be_similar(a, [b], np.array([longer]))[0])
 
 
 #: Links that a task holds before it sends them.
 HELD_LINKS = 5_000
+#: Characters of texts that are marked together.
+MARKED = 1 << 15
+#: Members of a unit up to which all their sketches are compared at once.
+AT_ONCE = 256
 
 
 def line_links(rows: DataFrame) -> DataFrame:
@@ -391,6 +435,7 @@ def line_links(rows: DataFrame) -> DataFrame:
             size = np.array([len(x) for x in texts])
             sketch = t.column("sketch").to_numpy()[at].view(np.uint64)
             marks: list[np.ndarray | None] = [None] * len(nodes)
+            share = (np.cumsum(size) // MARKED).tolist()
             forest = Forest(len(nodes))
             known: dict[int, np.ndarray] = {}
 
@@ -400,6 +445,12 @@ def line_links(rows: DataFrame) -> DataFrame:
                 fits[i] = False
                 return np.flatnonzero(fits if not rest[i] else fits & ~rest)
 
+            def marks_of(i: int) -> np.ndarray:
+                if marks[i] is None:
+                    lo, hi = bisect_left(share, share[i]), bisect_right(share, share[i])
+                    marks[lo:hi] = marks_of_all(texts[lo:hi])
+                return marks[i]
+
             def known_partners(i: int) -> np.ndarray:
                 found = known.pop(i, None)
                 return partners(i) if found is None else found
@@ -411,21 +462,24 @@ def line_links(rows: DataFrame) -> DataFrame:
                 return len(found)
 
             probes = np.flatnonzero(~rest)
-            if len(nodes) > 3:  # those like most others first, so that fewer others are compared among each other
+            if len(nodes) <= AT_ONCE:  # the same partners and order, found at once
+                fits = abs(size[:, None] - size) <= (1 - SIMILARITY) * np.maximum(size[:, None], size) + 1e-9
+                fits &= close(sketch[:, None], sketch)
+                fits &= ~(rest[:, None] & rest)
+                np.fill_diagonal(fits, False)
+                known = {i: np.flatnonzero(x) for i, x in enumerate(fits)}
+                if len(nodes) > 3:
+                    probes = probes[np.argsort(-fits.sum(axis=1)[probes], kind="stable")]
+            elif len(nodes) > 3:  # those like most others first, so that fewer others are compared among each other
                 probes = probes[np.argsort([-like(i) for i in probes.tolist()], kind="stable")]
             places: list[dict[str, bytes] | None] = [None] * len(nodes)
             met = np.zeros(len(nodes), bool)
             for i in probes.tolist():
                 met[i] = True
-                todo = []
-                for j in known_partners(i).tolist():
-                    if (met[j] and not rest[j]) or forest.find(i) == forest.find(j):
-                        continue
-                    for k in (i, j):
-                        if marks[k] is None:
-                            marks[k] = gram_marks(texts[k])
-                    if may_be_similar(marks[i], marks[j], max(size[i], size[j])):
-                        todo.append(j)
+                todo = [j for j in known_partners(i).tolist() if (rest[j] or not met[j]) and forest.find(i) != forest.find(j)]
+                if todo:
+                    may = any_may_be_similar(marks_of(i), [marks_of(j) for j in todo], np.maximum(size[i], size[todo]))
+                    todo = [j for j, x in zip(todo, may.tolist(), strict=True) if x]
                 if len(todo) > 2:
                     most = {j: int((1 - SIMILARITY) * max(size[i], size[j]) + 1e-9) for j in todo}
                     sure = [j for j in todo if most_edits(texts[i], texts[j]) <= most[j]]
@@ -475,11 +529,11 @@ def lines_of(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
                 t = t.as_py()
                 if not t:
                     continue
-                for x in lines_of_text(t):
-                    if counts(x):
-                        held.append(x)
-                        digests.append(xxhash.xxh3_128_digest(x))
-                        size += len(x)
+                found = lines_of_text(t)
+                mine = [found[k] for k in counted(found)]
+                held += mine
+                digests += map(xxhash.xxh3_128_digest, mine)
+                size += len(t) if mine else 0
                 if size >= HELD_BYTES:
                     yield out()
                     held, digests, size = [], [], 0
@@ -493,20 +547,22 @@ def lines_of(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
 def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lines: DataFrame | None = None) -> DataFrame:
     """(id, raw, removed): the line numbers to remove from the rows so named."""
     lines = kept(line_rows(docs, id_column, text), "lines") if lines is None else lines
-    order = F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "raw", "line")
-    nodes = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.min("bytes").alias("bytes"))
-    nodes = kept(nodes.select("h1", "h2", F.col("h1").alias("node"), "first", "n", "bytes"), "nodes")
+    # only numbers of fixed size here, which Spark sums by hash; which line is a group's first is asked of repeated lines alone
+    nodes = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("bytes").alias("bytes"))
+    nodes = kept(nodes.select("h1", "h2", F.col("h1").alias("node"), "n", "bytes"), "nodes")
     grouped = bucket_groups(bucket_rows(lines), close, kinds=int(KINDS))
-    picked = kept(nodes.join(grouped.hint("merge"), "node").select("comp", "node", "sketch", "bytes"), "picked")
+    picked = kept(nodes.select("node", "bytes").join(grouped.hint("shuffle_hash"), "node").select("comp", "node", "sketch", "bytes"), "picked")
     texts = kept(lines_of(docs, kept(picked.select("node").distinct(), "wanted"), text), "texts")
     links = compared(picked, lambda rows: line_links(rows.join(texts.hint("merge"), "node")))
     same = kept(components(links), "groups")
     # groups of one node need no links; their occurrences meet by digest
-    of = nodes.join(same.hint("merge"), "node", "left").select("h1", "h2", "first", "n", F.col("comp").isNotNull().alias("grouped"), F.coalesce("comp", "node").alias("comp")).where("n > 1 or grouped")
-    of = kept(of, "repeated")
-    lead = of.groupBy("comp").agg(F.min("first").alias("lead"))
-    repeated = of.join(lead, "comp").select("h1", "h2", F.col("lead.id").alias("lead_id"), F.col("lead.raw").alias("lead_raw"), F.col("lead.line").alias("lead_line"))
-    out = lines.select("id", "raw", "line", "h1", "h2").join(repeated.hint("merge"), ["h1", "h2"]).where("not (id = lead_id and raw = lead_raw and line = lead_line)")
+    of = nodes.join(same.hint("shuffle_hash"), "node", "left").where("n > 1 or comp is not null").select("h1", "h2", F.coalesce("comp", "node").alias("comp"))
+    repeated = kept(lines.select("id", "raw", "line", "h1", "h2").join(of.hint("shuffle_hash"), ["h1", "h2"]).select("id", "raw", "line", "comp"), "repeated")
+    place = F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "raw", "line")
+    lead = repeated.groupBy("comp").agg(F.min(place).alias("lead"))
+    # read from a table, so that Spark can split the lines of a large group among tasks
+    lead = kept(lead.select("comp", F.col("lead.id").alias("lead_id"), F.col("lead.raw").alias("lead_raw"), F.col("lead.line").alias("lead_line")), "leads")
+    out = repeated.join(lead.hint("shuffle_hash"), "comp").where("not (id = lead_id and raw = lead_raw and line = lead_line)")
     return out.groupBy("id", "raw").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
@@ -515,10 +571,12 @@ def marked(docs: DataFrame, id_column: str = "doc_id", text: str = "text", colum
     lines = kept(line_rows(docs, id_column, text), "lines")
     gone = removed_lines(docs, id_column, text, lines).select(F.col("id").alias("__id"), F.col("raw").alias("__raw"), F.col("removed").alias("__gone"))
     key, raw = row_keys(docs, id_column, text)
+    rows = docs.select(*(columns or docs.columns), key.alias("__id"), raw.alias("__raw"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("__lines"))
+    if columns is not None:  # without the texts, which are then read once for both uses below
+        rows = kept(rows, "rows")
     # rows equal to an earlier one keep no line: the few ids and texts that stand twice, with all their lines
-    twice = docs.select(key, raw).groupBy("id", "raw").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    twice = rows.select(F.col("__id").alias("id"), F.col("__raw").alias("raw")).groupBy("id", "raw").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     every = lines.join(twice, ["id", "raw"], "left_semi").groupBy(F.col("id").alias("__id"), F.col("raw").alias("__raw")).agg(F.array_sort(F.collect_set("line")).alias("__every"))
-    rows = docs.select(*(columns or docs.columns), key.alias("__id"), raw.alias("__raw"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("__lines"))
     rows = rows.join(gone.hint("merge"), ["__id", "__raw"], "left").join(every.hint("merge"), ["__id", "__raw"], "left").withColumn("__copy", F.row_number().over(W.partitionBy("__id", "__raw").orderBy("__raw")))
     none = F.array().cast("array<int>")
     removed = F.when(F.col("__copy") > 1, F.coalesce("__every", none)).otherwise(F.coalesce("__gone", none))

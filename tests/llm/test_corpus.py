@@ -110,6 +110,66 @@ def test_gram_marks():
     assert ruled > 50
 
 
+def test_marks_of_one_text_against_many():
+    rng = random.Random(13)
+    for _ in range(60):
+        texts = ["".join(rng.choice("abc é\U0001f600") for _ in range(rng.randrange(1, 90))) for _ in range(4)]
+        texts += [texts[0][:k] + "x" + texts[0][k:] for k in range(0, len(texts[0]), 9)]
+        marks = ld.marks_of_all(texts)
+        assert all((x == gram_marks(t)).all() for x, t in zip(marks, texts, strict=True))
+        may = ld.any_may_be_similar(marks[0], marks[1:], np.array([max(len(texts[0]), len(t)) for t in texts[1:]]))
+        assert all(x or not similar(texts[0], t) for x, t in zip(may.tolist(), texts[1:], strict=True))
+
+
+def test_line_keys_in_pieces(monkeypatch):
+    """Keys and sketches of lines don't depend on how many lines are hashed at once."""
+    rng = random.Random(14)
+    for scheme, (least, below, *_) in enumerate(ld.SCHEMES):
+        lines = [bytes(rng.randrange(97, 123) for _ in range(rng.randrange(max(1, least), min(below, 600)))) for _ in range(50)]
+        got = []
+        for size in (64, 1 << 30):
+            monkeypatch.setattr(ld, "CACHED_BYTES", size)
+            got.append(ld.block_keys(lines, scheme))
+        assert all((x == y).all() for x, y in zip(*got, strict=True))
+
+
+def test_links_of_units_compared_at_once(monkeypatch):
+    """Units whose sketches are all compared at once give the links of those compared member by member."""
+    held = []
+    monkeypatch.setattr(ld, "by_runs", lambda df, key, f, *rest: held.append(f))
+    ld.line_links(type("Rows", (), {"select": lambda self, *names: self})())
+    rng = random.Random(15)
+    rows = []
+    for unit in range(30):
+        texts = ["".join(rng.choice("abcdef ") for _ in range(60)) for _ in range(3)]
+        for node in range(rng.randrange(3, 12)):
+            text = list(rng.choice(texts))
+            for _ in range(rng.randrange(16)):
+                text[rng.randrange(60)] = rng.choice("xyz")
+            rows.append((unit, 100 * unit + node, int(unit % 3 == 0 and node > 3), rng.choice([0, 1 << 3, 1 << 60]), "".join(text)))
+    cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)]
+    got = []
+    for most in (0, 256):
+        monkeypatch.setattr(ld, "AT_ONCE", most)
+        got.append([b.to_pydict() for b in held[0](iter([pa.RecordBatch.from_arrays(cols, ["unit", "node", "role", "sketch", "text"])]))])
+    assert got[0] == got[1] and len(got[0][0]["a"]) > 30
+
+
+def test_line_digests_are_summed_by_hash(spark, docs, monkeypatch):
+    """Sums over all lines hold numbers of fixed size only, else Spark sorts every line for them."""
+    kinds = {}
+    real = ld.kept
+    monkeypatch.setattr(ld, "kept", lambda df, name="table": kinds.update({name: dict(df.dtypes)}) or real(df, name))
+    rows = removed_lines(docs([(1, "a line here\nb"), (2, "A  line here\nown two words"), (3, "a line here")])).collect()
+    assert sorted((r["id"], r["removed"]) for r in rows) == [(2, [0]), (3, [0])]
+    assert set(kinds["nodes"].values()) <= {"bigint", "int"} and "leads" in kinds
+
+
+def test_long_texts_without_lines_that_count(spark, docs):
+    made = docs([(1, "ab\n" * 150_000), (2, "a line here"), (3, "a line here")])
+    assert [(r["id"], r["removed"]) for r in removed_lines(made).collect()] == [(3, [0])]
+
+
 def test_close_sketches():
     rng = random.Random(6)
     for _ in range(300):
