@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import name_score, name_words, near_name, ratio
+from ..functions.names import name_blocks, name_score, name_words, near_name, ratio, untitled
 from ..functions.text import contains_words, name_key, squash
 from .graph import components
 
@@ -177,9 +177,10 @@ def best_matches(scores: DataFrame, threshold: float) -> DataFrame:
 def match_records(mentions: DataFrame, records: DataFrame, threshold: float = AUTO_MERGE, borderline: float = BORDERLINE) -> tuple[DataFrame, DataFrame]:
     """(matches, near misses) of mentions (mention, type, name) and records (ref, type, name, key).
 
-    A key in the name decides alone. Otherwise names that share a word's first letters, or all letters without spaces, meet;
-    the best score at the
-    threshold or above matches, ties kept, and mentions without a match keep their near misses for an adjudicator.
+    A key in the name decides alone. Otherwise names meet whose words all agree up to their endings, or all letters
+    without spaces, as a score needs (``name_blocks``); the best score at the threshold or above matches, ties kept.
+    Mentions without a match keep their near misses for an adjudicator; those share a word's first letters only, so they
+    are as many as the pairs with such a word.
     """
     squashed = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     words = lambda c: F.explode(F.array_distinct(name_words(c)))
@@ -188,19 +189,24 @@ def match_records(mentions: DataFrame, records: DataFrame, threshold: float = AU
     keys = records.where(F.col("key").rlike("[0-9]")).select("ref", squashed(F.col("key")).alias("k"))
     by_key = said.join(keys, "k").select("mention", F.col("ref").alias("record"), F.lit(100.0).alias("score")).distinct()
     rest = mentions.join(by_key.select("mention"), "mention", "left_anti")
-    first = F.substring("w", 1, 3)
-    whole = lambda c: F.concat(F.lit("="), squash(c))
-    left_words = rest.select("mention", "type", "name", words(F.col("name")).alias("w")).withColumn("w", first)
-    left_words = left_words.unionByName(rest.select("mention", "type", "name", whole(F.col("name")).alias("w")))
-    right_words = records.select("ref", "type", F.col("name").alias("record_name"), words(F.col("name")).alias("w")).withColumn("w", first)
-    right_words = right_words.unionByName(records.select("ref", "type", F.col("name").alias("record_name"), whole(F.col("name")).alias("w")))
-    met = left_words.join(right_words, ["type", "w"])
-    pairs = met.select("mention", "name", F.col("ref").alias("record"), "record_name").distinct()
-    scored = pairs.withColumn("score", name_score(threshold)("name", "record_name"))
+    named = records.select("ref", "type", F.col("name").alias("record_name"))
+    columns = ["mention", "name", F.col("ref").alias("record"), "record_name"]
+
+    said_words = rest.select("mention", "type", "name", name_words(F.col("name")).alias("ws")).withColumn("bare", untitled(F.col("ws")))
+    left_blocks = said_words.select("mention", "type", "name", F.explode(F.array_union(name_blocks(F.col("ws")), name_blocks(F.col("bare")))).alias("w"))
+    right_blocks = named.withColumn("ws", name_words(F.col("record_name"))).select("ref", "type", "record_name", F.explode(name_blocks(F.col("ws"))).alias("w"))
+    alike = left_blocks.join(right_blocks, ["type", "w"]).select(*columns).distinct()
+    scored = alike.withColumn("score", name_score(threshold)("name", "record_name"))
     best = best_matches(scored.where("score is not null").select("mention", "record", "score"), threshold)
     matches = by_key.unionByName(best)
-    left = pairs.join(matches.select("mention"), "mention", "left_anti")
-    return matches, left.where(near_name(borderline)("name", "record_name")).select("mention", "record")
+
+    first = F.substring("w", 1, 3)
+    whole = lambda c: F.concat(F.lit("="), squash(c))
+    left = rest.join(matches.select("mention"), "mention", "left_anti").select("mention", "type", "name")
+    left_words = left.select("*", words(F.col("name")).alias("w")).withColumn("w", first).unionByName(left.select("*", whole(F.col("name")).alias("w")))
+    right_words = named.select("*", words(F.col("record_name")).alias("w")).withColumn("w", first).unionByName(named.select("*", whole(F.col("record_name")).alias("w")))
+    near = left_words.join(right_words, ["type", "w"]).select(*columns).distinct()
+    return matches, near.where(near_name(borderline)("name", "record_name")).select("mention", "record")
 
 
 def choose_routes(candidates: DataFrame, order: tuple[str, ...] = ROUTES) -> DataFrame:
