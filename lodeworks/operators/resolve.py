@@ -96,6 +96,45 @@ def mutual_nearest(scores: DataFrame, k: int = 1) -> DataFrame:
     return best.join(back, ["type", "a", "b"], "left_semi").where("a < b")
 
 
+def value_scores(items: DataFrame, most: float) -> DataFrame:
+    """(type, a, b, score), a < b: every pair of one type of items (type, id, v); the nearer the values, the higher the score, up to ``most``.
+
+    These are as many as a type's pairs.
+    """
+    x, y = items.alias("x"), items.alias("y")
+    met = x.join(y, (F.col("x.type") == F.col("y.type")) & (F.col("x.id") < F.col("y.id")))
+    return met.select(F.col("x.type").alias("type"), F.col("x.id").alias("a"), F.col("y.id").alias("b"), (F.lit(most) - F.abs(F.col("x.v") - F.col("y.v"))).alias("score"))
+
+
+def mutual_nearest_values(items: DataFrame, most: float) -> DataFrame:
+    """``mutual_nearest(value_scores(items, most))`` without its pairs: an item's best is beside it in the order of values.
+
+    That is the least id of its own value, of the next value below or of the next above. It needs values whose scores can't
+    round to one; types with values closer than that, with nulls, with values that aren't finite or with repeated ids keep
+    all their pairs.
+    """
+    items = items.where("type is not null and id is not null").select("type", "id", "v")
+    of_type = W.partitionBy("type").orderBy("v")
+    values = items.groupBy("type", "v").agg(F.min("id").alias("least"))
+    values = values.select("*", *[f(c).over(of_type).alias(f"{side}_{c}") for c in ("v", "least") for side, f in (("below", F.lag), ("above", F.lead))])
+    apart = F.lit(1e-14) * (F.lit(most) + 4 * F.max(F.abs("v")))
+    strange = F.col("v").isNull() | F.isnan("v") | (F.abs("v") == float("inf"))
+    close = values.groupBy("type").agg((F.coalesce(F.bool_or(strange), F.lit(False)) | F.coalesce(F.min(F.col("above_v") - F.col("v")) < apart, F.lit(False))).alias("odd"))
+    repeated = items.groupBy("type", "id").agg(F.count("*").alias("n")).where("n > 1").select("type")
+    odd = close.where("odd").select("type").unionByName(repeated).distinct()
+    plain = items.join(odd, "type", "left_anti").join(values, ["type", "v"])
+    of_value = W.partitionBy("type", "v").orderBy("id")
+    other = F.when(F.col("id") == F.col("least"), F.lead("id").over(of_value)).otherwise(F.col("least"))
+    score = lambda v: F.lit(most) - F.abs(F.col("v") - v)
+    of = lambda v, b: F.when(b.isNotNull(), F.struct((-score(v)).alias("s"), b.alias("b")))
+    plain = plain.withColumn("other", other)
+    best = F.least(of(F.col("v"), F.col("other")), of(F.col("below_v"), F.col("below_least")), of(F.col("above_v"), F.col("above_least")))
+    best = plain.select("type", F.col("id").alias("a"), best.alias("best")).where("best is not null").select("type", "a", F.col("best.b").alias("b"), (-F.col("best.s")).alias("score"))
+    back = best.select("type", F.col("b").alias("a"), F.col("a").alias("b"))
+    near = best.where("a < b").join(back, ["type", "a", "b"], "left_semi")
+    return near.unionByName(mutual_nearest(value_scores(items.join(odd, "type", "left_semi"), most)))
+
+
 # guards: pairs that must not merge
 
 
