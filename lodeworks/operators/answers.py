@@ -29,11 +29,13 @@ def single_number(rows: DataFrame, value: str, order: str, by: str = "query") ->
 
 def cited(citations: DataFrame, returned: DataFrame, claim_chunks: DataFrame) -> DataFrame:
     """(answer, id, known, via): the ids an answer (answer, id) cites, known if a tool returned them (answer, id), and the chunks of known claims (id, chunk_id)."""
-    given = returned.select("answer", "id").distinct().withColumn("known", F.lit(True))
-    own = citations.select("answer", "id").distinct().join(given, ["answer", "id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    told = citations.select("answer", "id", F.lit(True).alias("own"), F.lit(False).alias("known")).unionByName(returned.select("answer", "id", F.lit(False).alias("own"), (F.col("answer").isNotNull() & F.col("id").isNotNull()).alias("known")))
+    own = told.groupBy("answer", "id").agg(F.bool_or("own").alias("own"), F.bool_or("known").alias("known")).where("own").select("answer", "id", "known")
     chunks = own.where("known").join(claim_chunks.select("id", "chunk_id").distinct(), "id").select("answer", F.col("chunk_id").alias("id"), F.lit(True).alias("known"))
-    every = own.withColumn("via", F.lit("cited")).unionByName(chunks.withColumn("via", F.lit("claim")))
-    return every.groupBy("answer", "id").agg(F.bool_or("known").alias("known"), F.min("via").alias("via"))
+    every = own.withColumn("place", F.lit(0)).unionByName(chunks.withColumn("place", F.lit(1)))
+    # a number is aggregated by hash, a text by sorting
+    met = every.groupBy("answer", "id").agg(F.bool_or("known").alias("known"), F.min("place").alias("place"))
+    return met.select("answer", "id", "known", F.when(F.col("place") == 0, "cited").otherwise("claim").alias("via"))
 
 
 def holds_number(text: Column, number: Column) -> Column:
