@@ -22,6 +22,8 @@ from .graph import components
 # fixed values: score bounds and the order of the attachment routes
 BORDERLINE, AUTO_MERGE = 80.0, 92.0
 ROUTES = ("key_in_sentence", "part_of", "section", "document")
+# ids of a type in one row
+RUN = 10_000
 
 
 @F.pandas_udf(T.DoubleType())
@@ -160,6 +162,24 @@ def same_sentence(pairs: DataFrame, named: DataFrame) -> DataFrame:
     return pairs.join(together, ["a", "b"], "left_anti")
 
 
+def pairs_apart(items: DataFrame, named: DataFrame) -> DataFrame:
+    """(type, a, b), a < b: every pair of one type of items (type, id), without those that one sentence names both.
+
+    The same as ``same_sentence`` over all pairs, which are never dealt: an item meets its type's ids in runs of ``RUN``
+    and leaves out its own list of ids named beside it. Only ids of one type are looked for in a sentence.
+    """
+    items = items.select("type", "id").where("type is not null and id is not null")
+    said = named.select("sentence", "id").join(items.distinct(), "id").select("sentence", "type", "id").repartition("sentence", "type").distinct()
+    met = said.withColumnRenamed("id", "a").join(said.withColumnRenamed("id", "b"), ["sentence", "type"]).where("a < b")
+    beside = met.groupBy(F.col("type"), F.col("a")).agg(F.collect_set("b").alias("beside"))
+    place = F.row_number().over(W.partitionBy("type").orderBy("id"))
+    runs = items.withColumn("run", F.floor(place / F.lit(RUN))).groupBy("type", "run").agg(F.collect_list("id").alias("ids"), F.max("id").alias("last"))
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = items.withColumnRenamed("id", "a").join(beside, ["type", "a"], "left").repartition(parts, "type", "a")
+    every = each.join(F.broadcast(runs), "type").where("last > a").select("type", "a", "beside", F.explode("ids").alias("b")).where("b > a")
+    return every.where(F.col("beside").isNull() | ~F.array_contains("beside", F.col("b"))).select("type", "a", "b")
+
+
 def part_and_whole(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs without those that a claim calls part and whole; ``parts`` is (part, whole)."""
     joined = parts.select(F.least("part", "whole").alias("a"), F.greatest("part", "whole").alias("b")).distinct()
