@@ -169,7 +169,7 @@ def pairs_apart(items: DataFrame, named: DataFrame) -> DataFrame:
     and leaves out its own list of ids named beside it. Only ids of one type are looked for in a sentence.
     """
     items = items.select("type", "id").where("type is not null and id is not null")
-    said = named.select("sentence", "id").join(items.distinct(), "id").select("sentence", "type", "id").repartition("sentence", "type").distinct()
+    said = named.select("sentence", "id").join(items.distinct(), "id").select("sentence", "type", "id").distinct()
     met = said.withColumnRenamed("id", "a").join(said.withColumnRenamed("id", "b"), ["sentence", "type"]).where("a < b")
     beside = met.groupBy(F.col("type"), F.col("a")).agg(F.collect_set("b").alias("beside"))
     place = F.row_number().over(W.partitionBy("type").orderBy("id"))
